@@ -4,36 +4,66 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = re.compile(r"\w+")
-#: Entries a worker's word memo may hold; it is emptied beyond, so a worker's memory is bounded.
+#: Entries that a worker's memo of words may hold.
 MEMO_LIMIT = 300_000
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, computed once while the word stays in the memo."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_memo = WordHashes()
-
-
 def words(text: str | None) -> list[str]:
     """Lower-case runs of letters, digits and underscores; none for null."""
     return WORD.findall(text.lower()) if text else []
 
 
-def hashes(tokens: list[str]) -> np.ndarray:
-    return np.fromiter(map(_memo.__getitem__, tokens), np.uint64, len(tokens))
+_rng = np.random.Generator(np.random.PCG64(20240229))
+_BYTES, _PLACES = (_rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (256, 1024))
+_WORD_BYTES = np.array([c >= 128 or chr(c).isalnum() or c == 95 for c in range(256)])
+_VISIBLE = np.array([c > 32 and not 28 <= c <= 31 for c in range(256)])
+#: Beyond ASCII, characters that don't belong to words: general and CJK punctuation, signs of Latin-1, symbols, no-break and wide spaces.
+_MARKS = re.compile("[\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3004\u3008-\u3020\u3030\ufe30-\ufe4f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
+def word_hashes(texts: list[str | None], exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all texts' words, offsets): text k's words are those from offsets[k] to offsets[k + 1].
+
+    Words are lower-case runs of letters, digits and underscores (of non-ASCII characters, all but the usual marks and signs);
+    with exact, they are what white space (ASCII's) separates, as it is.
+    """
+    if exact:
+        parts = [(t or "").encode() for t in texts]
+    else:
+        lower = [(t or "").lower() for t in texts]
+        parts = [(t if t.isascii() else _MARKS.sub(" ", t)).encode() for t in lower]
+    a = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    inside = (_VISIBLE if exact else _WORD_BYTES)[a]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edge = np.r_[0, edge]
+    starts, lengths = edge[::2], edge[1::2] - edge[::2]
+    first = np.cumsum(np.array([0, *(len(p) + 1 for p in parts)]))
+    offsets = np.searchsorted(starts, first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), offsets
+    begin = np.cumsum(lengths) - lengths
+    letters = a[inside]
+    place = (np.arange(len(letters), dtype=np.int32) - np.repeat(begin.astype(np.int32), lengths)) & 1023
+    return mix(np.add.reduceat(_BYTES[letters] * _PLACES[place], begin) + lengths.astype(np.uint64)), offsets
+
+
+def each(texts: list[str | None], exact: bool = False, budget: int = 400_000) -> Iterator[np.ndarray]:
+    """The word hashes of each text in turn, worked out for about budget characters at a time."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= budget or k == len(texts) - 1:
+            h, o = word_hashes(texts[start : k + 1], exact)
+            for x in range(k + 1 - start):
+                yield h[o[x] : o[x + 1]]
+            start, size = k + 1, 0
 
 
 def mix(x: np.ndarray) -> np.ndarray:

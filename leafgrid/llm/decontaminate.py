@@ -71,7 +71,7 @@ class Block:
     """The seeds of some test items, sorted for lookup."""
 
     def __init__(self, rows: list[tuple], min_match: int):
-        self.items = [(i, common.hashes(common.words(t))) for i, t in rows]
+        self.items = [(i, h) for (i, _), h in zip(rows, common.each([t for _, t in rows]))]
         self.seeds = {}
         by_length = defaultdict(list)
         for k, (_, h) in enumerate(self.items):
@@ -85,10 +85,9 @@ class Block:
             order = np.argsort(flat, kind="stable")
             self.seeds[n] = (flat[order], owner[order], at[order])
 
-    def found(self, text: str | None, coverage: float) -> list[tuple]:
-        """(item id, coverage, tiles, longest) of the items that the text holds."""
+    def found(self, h: np.ndarray, coverage: float) -> list[tuple]:
+        """(item id, coverage, tiles, longest) of the items that the text of these word hashes holds."""
         out = []
-        h = common.hashes(common.words(text))
         for n, (flat, owner, at) in self.seeds.items():
             if len(h) < n:
                 continue
@@ -128,7 +127,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, coverage: float = 0.5, min_m
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column(0).to_pylist()
-                rows = [(i, *x) for i, t in zip(ids, b.column(1).to_pylist()) for x in shared.value.found(t, coverage)]
+                rows = [(i, *x) for i, h in zip(ids, common.each(b.column(1).to_pylist())) for x in shared.value.found(h, coverage)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((b.schema.field(0).type, item_type, pa.float64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "coverage", "tiles", "longest"])
 
         item_type = pa.int64() if bench.schema["item_id"].dataType.typeName() in ("long", "integer", "short") else pa.string()
@@ -145,7 +144,7 @@ def keep_clean(docs: DataFrame, bench: DataFrame, coverage: float = 0.5, min_mat
 
         def choose(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not shared.value.found(t, coverage) for t in b.column(at).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not shared.value.found(h, coverage) for h in common.each(b.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(choose, schema)
     return docs

@@ -7,7 +7,9 @@ results, a good one few candidates.
 
 1. Every task counts n-grams into the sketch and emits each document's set fingerprint.
 2. Prefix postings leave the tasks packed as one row per batch and hash bucket, and meet in their bucket, where the length
-   filter and the positional filter cut the pairs that share an n-gram. Equal sets have one fingerprint and count as one.
+   filter cuts the pairs that share an n-gram; summed over the buckets, the positional filters do: some shared n-gram must
+   leave enough after it in both sets, and the shared part of the prefixes with all that follows must be enough. Equal sets have one
+   fingerprint and count as one.
 3. A pair goes to the cell of its smallest shared n-gram; cells that hold many sets are divided into blocks of sets, so that the hottest
    one is verified by many tasks. The suffix filter (counts per hash range) and then the full sets decide, once per pair.
 
@@ -38,8 +40,11 @@ BUCKET_POSTINGS, BLOCK_SETS, GROUP_SETS = 700_000, 128, 256
 STEP = 1000
 
 
-def gram_set(text: str | None, n: int) -> np.ndarray:
-    return np.unique(common.ngrams(common.hashes(common.words(text)), n))
+def gram_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """Each text's set of n-grams, sorted."""
+    for h in common.each(texts):
+        g = np.sort(common.ngrams(h, n))
+        yield g[np.r_[True, g[1:] != g[:-1]]] if len(g) else g
 
 
 def fingerprint(grams: np.ndarray) -> int:
@@ -65,8 +70,7 @@ def survey(docs: DataFrame, n: int, t: float) -> DataFrame:
             ids, texts, keep, fps, ms = b.column(0).to_pylist(), b.column(1), [], [], []
             for s in range(0, len(ids), STEP):
                 waiting = []
-                for i, text in zip(ids[s : s + STEP], texts.slice(s, STEP).to_pylist()):
-                    g = gram_set(text, n)
+                for i, g in zip(ids[s : s + STEP], gram_sets(texts.slice(s, STEP).to_pylist(), n)):
                     if len(g) and i is not None:
                         waiting.append((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                         keep.append(i)
@@ -109,13 +113,13 @@ def candidates(docs: DataFrame, sketch: np.ndarray, n_buckets: int, n: int, t: f
             for s in range(0, b.num_rows, STEP):
                 part, seen = b.slice(s, STEP), set()
                 fps, ms, sizes, grams, places = [], [], [], [], []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    g = gram_set(text, n)
+                for i, g in zip(part.column(0).to_pylist(), gram_sets(part.column(1).to_pylist(), n)):
                     if not len(g) or i is None or (fp := fingerprint(g)) in seen:
                         continue
                     seen.add(fp)
                     k = prefix_length(len(g), t)
-                    rank = np.lexsort((g, order[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)]))[:k]
+                    count = order[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)].astype(np.uint64)
+                    rank = np.argsort(count << np.uint64(32) | g & np.uint64(0xFFFFFFFF), kind="stable")[:k]
                     fps.append(fp)
                     ms.append(len(g))
                     sizes.append(k)
@@ -166,27 +170,31 @@ def candidates(docs: DataFrame, sketch: np.ndarray, n_buckets: int, n: int, t: f
             near = m[x] >= t * m[y] - 1e-9
             live = live[near]  # sizes grow within an n-gram: none further can be near enough
             x, y = x[near], y[near]
-            ok = 1 + np.minimum(m[x] - place[x] - 1, m[y] - place[y] - 1) >= needed(m[x], m[y], t)
-            x, y = x[ok], y[ok]
             if len(x):
-                out.append(np.stack([np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y]), gram[x].view(np.int64)]))
+                # before the filters over all their shared n-grams: sizes and, at this one, what can follow in both
+                possible = 1 + np.minimum(m[x] - place[x] - 1, m[y] - place[y] - 1) >= needed(m[x], m[y], t)
+                out.append(np.stack([np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y]), gram[x].view(np.int64), m[x], m[y], possible]))
                 size += len(x)
-            if size > 1_000_000:
-                yield least(np.concatenate(out, 1))
+            if size > 500_000:
+                yield summed(np.concatenate(out, 1))
                 out, size = [], 0
             step += 1
-        yield least(np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64))
+        yield summed(np.concatenate(out, 1) if out else np.zeros((6, 0), np.int64))
 
-    def least(x: np.ndarray) -> pa.RecordBatch:
+    def summed(x: np.ndarray) -> pa.RecordBatch:
         x = x[:, np.lexsort((x[2], x[1], x[0]))]
-        first = np.ones(x.shape[1], bool)
-        first[1:] = (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])
-        return pa.RecordBatch.from_arrays([pa.array(v[first]) for v in x], ["a", "b", "gram"])
+        first = np.flatnonzero(np.r_[True, (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])]) if x.shape[1] else np.zeros(0, int)
+        shared = np.diff(np.r_[first, x.shape[1]])
+        able = np.add.reduceat(x[5], first) if len(first) else x[5]
+        return pa.RecordBatch.from_arrays([*(pa.array(v[first]) for v in x[:5]), pa.array(shared.astype(np.int64)), pa.array(able)], ["a", "b", "gram", "m", "k", "shared", "able"])
 
     names = ["bucket", "gram", "place", "doc", "fp", "m"]
     posted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(post, "bucket int, gram binary, place binary, doc binary, fp binary, m binary")
-    met = posted.groupBy("bucket").applyInArrow(meet, "a long, b long, gram long")
-    return met.groupBy("a", "b").agg(F.min("gram").alias("gram"))
+    met = posted.groupBy("bucket").applyInArrow(meet, "a long, b long, gram long, m long, k long, shared long, able long")
+    found = met.groupBy("a", "b").agg(F.min("gram").alias("gram"), F.first("m").alias("m"), F.first("k").alias("k"), F.sum("shared").alias("shared"), F.sum("able").alias("able"))
+    # beyond the prefix that ends first, no more than that set's other n-grams can be shared
+    rest = F.greatest(F.ceil(F.col("m") * t - 1e-9), F.ceil(F.col("k") * t - 1e-9)) - 1
+    return found.filter((F.col("able") > 0) & (F.col("shared") + rest >= F.ceil((F.col("m") + F.col("k")) * (t / (1 + t)) - 1e-9))).select("a", "b", "gram")
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray, pivots: np.ndarray) -> int:
@@ -214,8 +222,7 @@ def verify(cand: DataFrame, docs: DataFrame, reps: DataFrame, n: int, t: float)
 
     def decide(left: pa.Table, right: pa.Table) -> pa.Table:
         known = {}
-        for fp, i, text in zip(*(right.column(k).to_pylist() for k in ("fp", "doc_id", "text"))):
-            g = gram_set(text, n)
+        for fp, i, g in zip(right.column("fp").to_pylist(), right.column("doc_id").to_pylist(), gram_sets(right.column("text").to_pylist(), n)):
             if fp not in known and fingerprint(g) == fp:
                 known[fp] = (i, g)
         rows = []

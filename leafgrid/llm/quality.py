@@ -198,9 +198,10 @@ def derive_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
             ids = b.column(0).to_pylist()
             out = []
             for k in (k for k, i in enumerate(ids) if i in known.value):
-                if tokens := common.words(b.column(1)[k].as_py()):
+                text = b.column(1)[k].as_py()
+                if len(h := common.word_hashes([text])[0]) and (tokens := common.words(text)):
                     seen = set(tokens) | {w[:STEM] + "*" for w in tokens if len(w) > STEM}
-                    out.append((int(known.value[ids[k]]), int(common.ngrams(common.hashes(tokens), 3).min() >> np.uint64(1)), " ".join(seen)))
+                    out.append((int(known.value[ids[k]]), int(common.ngrams(h, 3).min() >> np.uint64(1)), " ".join(seen)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], ["toxic", "family", "seen"])
 
     def tally(table: pa.Table) -> pa.Table:
