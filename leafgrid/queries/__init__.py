@@ -1,5 +1,9 @@
 """Registry of the layout queries and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from .layout_queries import LAYOUT
+from .line_queries import LINES
+
+ALL = {**LINES, **LAYOUT}
+QUERIES = {k: f for k, (f, _) in ALL.items()}
+ORACLE_SQL = {k: s for k, (_, s) in ALL.items() if s}
 FLAGSHIP = "page_evaluation"
