@@ -32,7 +32,7 @@ def decode(inputs: DataFrame, decoder: Callable[[str, bytes], Iterable[tuple]],
                     rows = [tuple(r) for r in (decoder(path, bytes(content)) if max_pages is None else decoder(path, bytes(content), max_pages))]
                     yield pd.DataFrame(rows, columns=names).assign(path=path, error=None)
                 except Exception as e:  # the row says what happened
-                    yield pd.DataFrame({"path": [path], "error": [f"{type(e).__name__}: {e}"]}).reindex(columns=[*names, "path", "error"])
+                    yield pd.DataFrame([[None] * len(names)], columns=names, dtype=object).assign(path=path, error=f"{type(e).__name__}: {e}")
 
     return inputs.select("path", "content").mapInPandas(run, f"{schema}, path string, error string")
 
