@@ -179,3 +179,21 @@ def overlay_boxes(blocks: DataFrame, width: int = 1200, height: int = 1600) -> D
     c = channels(colour(F.col("type")))
     label = F.concat(F.col("reading_order").cast("string"), F.lit(" "), F.col("type"))
     return blocks.select("doc_id", "page_no", "block_id", x.alias("left"), y.alias("top"), w.alias("wide"), h.alias("high"), c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), F.when(F.col("is_excluded"), 1).otherwise(3).alias("thickness"), label.alias("label"))
+
+
+def figure_gate(candidates: DataFrame) -> DataFrame:
+    """Candidate rectangles (…, w, h as ratios, image_width, image_height) of a figure's size and shape."""
+    aspect = F.col("w") * F.col("image_width") / (F.col("h") * F.col("image_height"))
+    return candidates.filter((F.col("w") * F.col("h")).between(0.015, 0.6) & aspect.between(0.125, 8.0))
+
+
+def boxed_gate(contours: DataFrame) -> DataFrame:
+    """Contours (…, w, h, vertices, hole_area, outer_area) that are frames: four corners, one large hole, of a box's size."""
+    return contours.filter((F.col("hole_area") > 0) & (F.col("vertices") == 4) & (F.col("w") * F.col("h")).between(0.02, 0.7) & (F.col("hole_area") >= 0.6 * F.col("outer_area")))
+
+
+def crop(image: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """The box's pixels, clipped to the image, at least one."""
+    high, wide = image.shape[:2]
+    x, y = min(max(0, int(box[0] * wide)), wide - 1), min(max(0, int(box[1] * high)), high - 1)
+    return image[y : y + max(1, int(box[3] * high)), x : x + max(1, int(box[2] * wide))]

@@ -90,3 +90,36 @@ def paper_profile(stats: DataFrame, luminance: float = 176, share: float = 0.25,
     marked = dev.join(mad, "doc_id").withColumn("inlier", (F.col("mad") <= 0) | (F.col("dev") <= spread * F.col("mad")))
     marked = marked.withColumn("inliers", F.count_if("inlier").over(Window.partitionBy("doc_id"))).filter(F.col("inlier") | (F.col("inliers") < least))
     return marked.groupBy("doc_id").agg(*[g.upper_median(c).alias(c) for c in ("luminance", "b", "g", "r")])
+
+
+def editor_labels(blocks: DataFrame, limit: int = 14) -> DataFrame:
+    """(doc_id, page_no, block_id, label): the order and the first characters, for a list to choose from; hidden blocks too."""
+    text = F.regexp_replace(F.coalesce(t.effective(F.col("corrected_text"), F.col("ocr_text")), F.lit("")), "\n", " ")
+    cut = F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("…"))).otherwise(text)
+    return blocks.select(*PAGE, "block_id", F.concat(F.col("reading_order").cast("string"), F.lit(": "), cut).alias("label"))
+
+
+def distinct_images(blocks: DataFrame) -> DataFrame:
+    """(doc_id, image_path, image_no): each image once per document, numbered as first seen."""
+    first = blocks.filter("image_path is not null").groupBy("doc_id", "image_path").agg(F.min(F.struct("page_no", "reading_order")).alias("at"))
+    return first.select("doc_id", "image_path", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "image_path")).alias("image_no"))
+
+
+def output_names(inputs: DataFrame, output: str | None = None, single: bool = False) -> DataFrame:
+    """inputs (path) with out: beside the input, or in the folder output, or the file output itself if there is one input."""
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/\\]*)$", 1), r"\.[^.]*$", "")
+    beside = F.concat(F.regexp_replace("path", r"\.[^.\\/]*$", ""), F.lit(".epub"))
+    return inputs.withColumn("out", beside if output is None else F.lit(output) if single else F.concat(F.lit(output.rstrip("/") + "/"), stem, F.lit(".epub")))
+
+
+def display_images(pages: DataFrame) -> DataFrame:
+    """pages with display_image: the processed one if there is one, else the original."""
+    return pages.withColumn("display_image", F.coalesce("processed_image", "original_image"))
+
+
+def observed(blocks: DataFrame, name: str = "pages") -> tuple[DataFrame, object]:
+    """blocks and an Observation that holds the run's counts once an action has run: blocks, those to review, low confidence."""
+    from pyspark.sql import Observation
+
+    watch = Observation(name)
+    return blocks.observe(watch, F.count(F.lit(1)).alias("blocks"), F.count_if("requires_review").alias("review"), F.count_if(F.col("conf") < 0.85).alias("low_confidence")), watch

@@ -290,7 +290,41 @@ def character_lines(spark: SparkSession, d: str) -> DataFrame:
     return chars.text_lines(c, docs.select("doc_id", F.col("doc_id").cast("int").alias("page_no"), F.lit(612).alias("width"), F.lit(792).alias("height"))).select(*PAGE, "line_no", "text")
 
 
+def editor_labels(spark: SparkSession, d: str) -> DataFrame:
+    return pages.editor_labels(blocks_of(spark, d))
+
+
+def distinct_images(spark: SparkSession, d: str) -> DataFrame:
+    return pages.distinct_images(books(spark, d).withColumn("image_path", F.when(F.col("type") == "Figure", F.concat(F.lit("images/"), (F.col("page_no") % 4).cast("string"), F.lit(".jpg")))))
+
+
+def output_names(spark: SparkSession, d: str) -> DataFrame:
+    return pages.output_names(input_files(documents(spark, d)).select("path"), "out/")
+
+
+def figure_candidates(docs: DataFrame) -> DataFrame:
+    i = F.col("doc_id")
+    return docs.select("doc_id", ((i * 37 % 100 + 1) / 100.0).alias("w"), ((i * 53 % 90 + 1) / 100.0).alias("h"), F.lit(1200).alias("image_width"), F.lit(1600).alias("image_height"))
+
+
+def figure_gate(spark: SparkSession, d: str) -> DataFrame:
+    return images.figure_gate(figure_candidates(documents(spark, d))).select("doc_id", "w", "h")
+
+
+def frame_gate(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    c = figure_candidates(documents(spark, d)).withColumn("vertices", (F.lit(3) + i % 3).cast("int")).withColumn("outer_area", F.lit(100.0)).withColumn("hole_area", (i * 7 % 100).cast("double"))
+    return images.boxed_gate(c).select("doc_id", "vertices", "hole_area")
+
+
+CANDIDATES = "v_candidates AS (SELECT doc_id, (doc_id * 37 % 100 + 1) / 100.0::DOUBLE AS w, (doc_id * 53 % 90 + 1) / 100.0::DOUBLE AS h FROM documents)"
+
 DOCUMENTS = {
+    "editor_labels": (editor_labels, sql("SELECT doc_id, page_no, block_id, reading_order || ': ' || CASE WHEN length(txt) > 14 THEN substr(txt, 1, 14) || '…' ELSE txt END AS label FROM (SELECT *, coalesce(corrected_text, ocr_text) AS txt FROM v_blocks)", *BLOCKS)),
+    "distinct_images": (distinct_images, sql("SELECT doc_id, image_path, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS image_no FROM (SELECT doc_id, 'images/' || page_no % 4 || '.jpg' AS image_path, min(page_no) AS first FROM v_books WHERE type = 'Figure' GROUP BY ALL)", *BLOCKS, BOOKS)),
+    "output_names": (output_names, f"WITH {INPUTS} SELECT path, 'out/' || regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', '') || '.epub' AS out FROM v_inputs"),
+    "figure_gate": (figure_gate, f"WITH {CANDIDATES} SELECT * FROM v_candidates WHERE w * h BETWEEN 0.015 AND 0.6 AND w * 1200 / (h * 1600) BETWEEN 0.125 AND 8"),
+    "frame_gate": (frame_gate, f"WITH {CANDIDATES} SELECT doc_id, (3 + doc_id % 3)::INT AS vertices, (doc_id * 7 % 100)::DOUBLE AS hole_area FROM v_candidates WHERE doc_id * 7 % 100 > 0 AND doc_id % 3 = 1 AND w * h BETWEEN 0.02 AND 0.7 AND doc_id * 7 % 100 >= 60"),
     "model_labels": (model_labels, sql(LABELS, *BLOCKS)),
     "model_corrections": (model_corrections, sql(CORRECTIONS, *BLOCKS)),
     "request_chunks": (request_chunks, sql(f"SELECT doc_id, block_id, ((row_number() OVER (PARTITION BY doc_id, page_no ORDER BY reading_order, block_id) - 1) // 20)::INT AS chunk_no FROM v_blocks WHERE source = 'Ocr' AND NOT is_excluded AND corrected_text IS NULL AND type NOT IN ('Figure', 'Table', 'Decorative') AND {nonspace('ocr_text')} > 0", *BLOCKS)),

@@ -31,7 +31,13 @@ def save(blocks: DataFrame, folder: str) -> None:
     (texts if there is None else texts.join(there.select(*KEY), KEY, "left_anti")).write.mode("append").json(f"{folder}/texts")
 
 
-def load(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+BLOCKS = (
+    "doc_id long, page_no int, block_id string, reading_order int, x double, y double, w double, h double, type string, ocr_text string, corrected_text string, conf double, source string, heading_level int, "
+    "is_excluded boolean, is_edited boolean, requires_review boolean, image_path string, related_block_id string, writing_mode string, n_lines long"
+)
+
+
+def load(spark: SparkSession, folder: str, schema: str = BLOCKS) -> DataFrame:
     """Blocks with the texts over them."""
     blocks = spark.read.schema(schema).json(f"{folder}/blocks")
     return edits.overlay(blocks, spark.read.schema("doc_id long, block_id string, text string").json(f"{folder}/texts"))

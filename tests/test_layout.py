@@ -308,3 +308,25 @@ def test_stream(spark, tmp_path, data):
     q = stream.run(stream.documents(spark, f"{tmp_path}/in", "doc_id long, text string", 1), plan, f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(120)
     assert sorted(spark.read.parquet(f"{tmp_path}/out").select("doc_id", "kept").collect()) == sorted(plan(docs).select("doc_id", "kept").collect())
+
+
+def test_observed_and_names(spark):
+    df, watch = pages.observed(spark.createDataFrame([block(0, conf=0.5), block(1)], BLOCK))
+    assert df.count() == 2 and watch.get == {"blocks": 2, "review": 0, "low_confidence": 1}
+    one = spark.createDataFrame([("a/b.c.pdf",)], "path string")
+    assert [pages.output_names(one, *x).first()["out"] for x in ((), ("f.epub", True), ("d/",))] == ["a/b.c.epub", "f.epub", "d/b.c.epub"]
+    assert images.crop(np.zeros((10, 20)), (0.5, 0.5, 1.0, 1.0)).shape == (5, 10)
+
+
+def test_cli(spark, data, tmp_path):
+    from leafgrid import cli
+
+    docs = f"{data}/documents.parquet"
+    assert cli.main(["analyze", docs, "--documents", "-o", f"{tmp_path}/p", "--layout", "reflow"]) == 0
+    assert cli.main(["export", f"{tmp_path}/p", "-o", f"{tmp_path}/x"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/x").count() == spark.read.json(f"{tmp_path}/p/blocks").count() > 0
+    assert cli.main(["evaluate", docs, "--documents", "-o", f"{tmp_path}/e"]) == 0
+    assert spark.read.text(f"{tmp_path}/e/html").count() == spark.read.parquet(docs).count()
+    assert cli.main(["convert", f"{tmp_path}", "-o", f"{tmp_path}/n"]) == 1
+    with pytest.raises(SystemExit):
+        cli.parse(["convert", "/no/such/file", "-o", "x"])
