@@ -7,11 +7,10 @@ results, a good one few candidates.
 
 1. Every task counts n-grams into the sketch and emits each document's set fingerprint.
 2. Prefix postings leave the tasks packed as one row per batch and hash bucket, and meet in their bucket, where the length
-   filter cuts the pairs that share an n-gram; summed over the buckets, the positional filters do: some shared n-gram must
-   leave enough after it in both sets, and the shared part of the prefixes with all that follows must be enough. Equal sets have one
-   fingerprint and count as one.
-3. A pair goes to the cell of its smallest shared n-gram; cells that hold many sets are divided into blocks of sets, so that the hottest
-   one is verified by many tasks. The suffix filter (counts per hash range) and then the full sets decide, once per pair.
+   filter and the positional filter cut the pairs that share an n-gram. A pair is taken where its sets don't share the
+   n-gram before, which holds for the first one that they share, so it leaves few buckets. Equal sets have one fingerprint and count as one.
+3. A pair goes to the cell of its smallest such n-gram; cells that hold many sets are divided into blocks of sets, so that the hottest
+   one is verified by many tasks. The suffix filter (digests: counts per hash range) and then the full sets decide, once per pair.
 
 Number of buckets follows the number of postings. Result: (doc_a, doc_b, jaccard) with doc_a < doc_b: one row for each pair
 of distinct sets, between their smallest doc_ids, and one row of similarity 1 that ties each further document of the
@@ -28,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 SKETCH_BITS, SLICES = 20, 64
-#: Postings that a bucket is to hold, sets that a block of a cell is to hold.
-BUCKET_POSTINGS, BLOCK_SETS, GROUP_SETS = 700_000, 128, 256
+#: Postings that a bucket is to hold, pairs of a cell, pairs and sets of a group of cells.
+BUCKET_POSTINGS, CELL_PAIRS, GROUP_PAIRS, GROUP_SETS = 700_000, 4000, 40_000, 256
 #: Documents handled at a time within an Arrow batch.
 STEP = 1000
 
@@ -52,6 +51,23 @@ def fingerprint(grams: np.ndarray) -> int:
     return int(common.mix(grams + np.uint64(len(grams))).sum(dtype=np.uint64).astype(np.int64)) if len(grams) else 0
 
 
+def digest(grams: np.ndarray) -> bytes:
+    """How many n-grams lie in each of 2**k equal ranges of the hash space, two to four on average, in four bits each; empty if a count is over 15."""
+    k = max(1, (len(grams) - 1).bit_length() - 2)
+    n = np.bincount((grams >> np.uint64(64 - k)).astype(np.int32), minlength=1 << k)
+    return (n[::2] << 4 | n[1::2]).astype(np.uint8).tobytes() if n.max() < 16 else b""
+
+
+def digest_bound(a: bytes, b: bytes, m: int, k: int) -> int:
+    """At least the overlap of two sets of m and k n-grams: what each range of the hash space can share (the suffix filter)."""
+    if not a or not b:
+        return min(m, k)
+    x, y = (np.stack([v >> 4, v & 15], 1).ravel() for v in (np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)))
+    width = min(len(x), len(y))
+    x, y = (v if len(v) == width else v.reshape(width, -1).sum(1) for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def prefix_length(m: int, t: float) -> int:
     return m - int(np.ceil(t * m - 1e-9)) + 1
 
@@ -62,12 +78,12 @@ def needed(a, b, t: float):
 
 
 def survey(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """Rows (doc_id, fp, m) for documents, and (slice, counts) of the sketch for each task."""
+    """Rows (doc_id, fp, m, digest) for documents, and (slice, counts) of the sketch for each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            ids, texts, keep, fps, ms = b.column(0).to_pylist(), b.column(1), [], [], []
+            ids, texts, keep, fps, ms, digests = b.column(0).to_pylist(), b.column(1), [], [], [], []
             for s in range(0, len(ids), STEP):
                 waiting = []
                 for i, g in zip(ids[s : s + STEP], gram_sets(texts.slice(s, STEP).to_pylist(), n)):
@@ -76,16 +92,17 @@ def survey(docs: DataFrame, n: int, t: float) -> DataFrame:
                         keep.append(i)
                         fps.append(fingerprint(g))
                         ms.append(len(g))
+                        digests.append(digest(g))
                 if waiting:
                     sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch)).astype(np.uint32)
             k = len(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(fps, pa.int64()), pa.array(ms, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(fps, pa.int64()), pa.array(ms, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if sketch.any():
             parts = [x.tobytes() for x in np.split(sketch, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    names = ["doc_id", "fp", "m", "slice", "counts"]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, fp long, m int, slice int, counts binary")
+    names = ["doc_id", "fp", "m", "digest", "slice", "counts"]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, fp long, m int, digest binary, slice int, counts binary")
 
 
 def sketch_of(surveyed: DataFrame) -> np.ndarray:
@@ -104,7 +121,10 @@ def sketch_of(surveyed: DataFrame) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, sketch: np.ndarray, n_buckets: int, n: int, t: float) -> DataFrame:
-    """(a, b, gram): pairs of set fingerprints, a < b, that pass the filters, with the smallest n-gram they share in a prefix."""
+    """(a, b, gram): pairs of set fingerprints, a < b, that pass the filters, with a number for the n-gram that they share.
+
+    Within a bucket n-grams go by 32 bits: two that fall together make a candidate more, none less.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +132,7 @@ def candidates(docs: DataFrame, sketch: np.ndarray, n_buckets: int, n: int, t: f
         for b in batches:
             for s in range(0, b.num_rows, STEP):
                 part, seen = b.slice(s, STEP), set()
-                fps, ms, sizes, grams, places = [], [], [], [], []
+                fps, ms, sizes, grams, places, before = [], [], [], [], [], []
                 for i, g in zip(part.column(0).to_pylist(), gram_sets(part.column(1).to_pylist(), n)):
                     if not len(g) or i is None or (fp := fingerprint(g)) in seen:
                         continue
@@ -125,42 +145,48 @@ def candidates(docs: DataFrame, sketch: np.ndarray, n_buckets: int, n: int, t: f
                     sizes.append(k)
                     grams.append(g[rank])
                     places.append(np.arange(k, dtype=np.int32))
+                    before.append(np.r_[fp & 0xFFFFFFFF, g[rank[:-1]] & np.uint64(0xFFFFFFFF)].astype(np.uint32))
                 if not fps:
                     continue
-                gram, place, doc = np.concatenate(grams), np.concatenate(places), np.repeat(np.arange(len(fps), dtype=np.uint16), sizes)
-                bucket = (common.mix(gram) % np.uint64(n_buckets)).astype(np.int32)
+                gram, place, prev, doc = np.concatenate(grams), np.concatenate(places), np.concatenate(before), np.repeat(np.arange(len(fps), dtype=np.uint16), sizes)
+                gram = common.mix(gram)
+                bucket, gram = (gram % np.uint64(n_buckets)).astype(np.int32), (gram >> np.uint64(32)).astype(np.uint32)
+                if place.max() < 1 << 16:
+                    place = place.astype(np.uint16)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-                cols = [[], [], [], [], [], []]
+                cols = [[], [], [], [], [], [], []]
                 for k in np.flatnonzero(np.diff(cuts)):
                     at = by[cuts[k] : cuts[k + 1]]
                     used, local = np.unique(doc[at], return_inverse=True)
-                    for c, v in zip(cols, (int(k), gram[at].tobytes(), place[at].tobytes(), local.astype(np.uint16).tobytes(), np.array(fps, np.int64)[used].tobytes(), np.array(ms, np.int32)[used].tobytes())):
+                    for c, v in zip(cols, (int(k), gram[at].tobytes(), place[at].tobytes(), prev[at].tobytes(), local.astype(np.uint16).tobytes(), np.array(fps, np.int64)[used].tobytes(), np.array(ms, np.int32)[used].tobytes())):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, place, fp, m = [], [], [], []
+        gram, place, prev, fp, m = [], [], [], [], []
         for batch in batches:
-            for g, p, d, f, z in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names[1:])):
+            bucket = batch.column(batch.schema.get_field_index("bucket"))[0].as_py()
+            for g, p, v, d, f, z in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names[1:])):
                 d = np.frombuffer(d, np.uint16)
-                gram.append(np.frombuffer(g, np.uint64))
-                place.append(np.frombuffer(p, np.int32))
+                gram.append(np.frombuffer(g, np.uint32))
+                place.append(np.frombuffer(p, np.int32 if len(p) == len(g) else np.uint16).astype(np.int32))
+                prev.append(np.frombuffer(v, np.uint32))
                 fp.append(np.frombuffer(f, np.int64)[d])
                 m.append(np.frombuffer(z, np.int32)[d])
-        gram, place, fp, m = map(np.concatenate, (gram, place, fp, m))
+        gram, place, prev, fp, m = map(np.concatenate, (gram, place, prev, fp, m))
         by = np.argsort(gram, kind="stable")
         g = gram[by]
         again = np.zeros(len(g), bool)
         again[1:] = g[1:] == g[:-1]
         again[:-1] |= again[1:]
         by = by[again]
-        gram, place, fp, m = gram[by], place[by], fp[by], m[by]
+        gram, place, prev, fp, m = gram[by], place[by], prev[by], fp[by], m[by]
         by = np.lexsort((fp, m, gram))
-        gram, place, fp, m = gram[by], place[by], fp[by], m[by]
+        gram, place, prev, fp, m = gram[by], place[by], prev[by], fp[by], m[by]
         once = np.ones(len(gram), bool)
         once[1:] = (gram[1:] != gram[:-1]) | (fp[1:] != fp[:-1])
-        gram, place, fp, m = gram[once], place[once], fp[once], m[once]
+        gram, place, prev, fp, m = gram[once], place[once], prev[once], fp[once], m[once]
         ends = np.flatnonzero(np.r_[gram[1:] != gram[:-1], True]) + 1 if len(gram) else np.zeros(0, int)
         end = np.repeat(ends, np.diff(np.r_[0, ends]))
         # the i-th set of each n-gram with the next ones, at growing distance, while any is left and long sets aren't too long
@@ -170,53 +196,63 @@ def candidates(docs: DataFrame, sketch: np.ndarray, n_buckets: int, n: int, t: f
             near = m[x] >= t * m[y] - 1e-9
             live = live[near]  # sizes grow within an n-gram: none further can be near enough
             x, y = x[near], y[near]
+            # the first n-gram that two sets share isn't preceded by the same one, and leaves enough after it in both
+            ok = (prev[x] != prev[y]) & (1 + np.minimum(m[x] - place[x] - 1, m[y] - place[y] - 1) >= needed(m[x], m[y], t))
+            x, y = x[ok], y[ok]
             if len(x):
-                # before the filters over all their shared n-grams: sizes and, at this one, what can follow in both
-                possible = 1 + np.minimum(m[x] - place[x] - 1, m[y] - place[y] - 1) >= needed(m[x], m[y], t)
-                out.append(np.stack([np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y]), gram[x].view(np.int64), m[x], m[y], possible]))
+                out.append(np.stack([np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y]), gram[x].astype(np.int64) * n_buckets + bucket]))
                 size += len(x)
             if size > 500_000:
-                yield summed(np.concatenate(out, 1))
+                yield least(np.concatenate(out, 1))
                 out, size = [], 0
             step += 1
-        yield summed(np.concatenate(out, 1) if out else np.zeros((6, 0), np.int64))
+        yield least(np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64))
 
-    def summed(x: np.ndarray) -> pa.RecordBatch:
+    def least(x: np.ndarray) -> pa.RecordBatch:
         x = x[:, np.lexsort((x[2], x[1], x[0]))]
-        first = np.flatnonzero(np.r_[True, (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])]) if x.shape[1] else np.zeros(0, int)
-        shared = np.diff(np.r_[first, x.shape[1]])
-        able = np.add.reduceat(x[5], first) if len(first) else x[5]
-        return pa.RecordBatch.from_arrays([*(pa.array(v[first]) for v in x[:5]), pa.array(shared.astype(np.int64)), pa.array(able)], ["a", "b", "gram", "m", "k", "shared", "able"])
+        first = np.ones(x.shape[1], bool)
+        first[1:] = (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])
+        return pa.RecordBatch.from_arrays([pa.array(v[first]) for v in x], ["a", "b", "gram"])
 
-    names = ["bucket", "gram", "place", "doc", "fp", "m"]
-    posted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(post, "bucket int, gram binary, place binary, doc binary, fp binary, m binary")
-    met = posted.groupBy("bucket").applyInArrow(meet, "a long, b long, gram long, m long, k long, shared long, able long")
-    found = met.groupBy("a", "b").agg(F.min("gram").alias("gram"), F.first("m").alias("m"), F.first("k").alias("k"), F.sum("shared").alias("shared"), F.sum("able").alias("able"))
-    # beyond the prefix that ends first, no more than that set's other n-grams can be shared
-    rest = F.greatest(F.ceil(F.col("m") * t - 1e-9), F.ceil(F.col("k") * t - 1e-9)) - 1
-    return found.filter((F.col("able") > 0) & (F.col("shared") + rest >= F.ceil((F.col("m") + F.col("k")) * (t / (1 + t)) - 1e-9))).select("a", "b", "gram")
+    names = ["bucket", "gram", "place", "prev", "doc", "fp", "m"]
+    posted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(post, "bucket int, gram binary, place binary, prev binary, doc binary, fp binary, m binary")
+    met = posted.groupBy("bucket").applyInArrow(meet, "a long, b long, gram long")
+    return met.groupBy("a", "b").agg(F.min("gram").alias("gram"))
 
 
-def suffix_bound(a: np.ndarray, b: np.ndarray, pivots: np.ndarray) -> int:
-    """At least the overlap of two sorted sets: what each range of the hash space can share."""
-    return int(np.minimum(np.diff(np.r_[0, np.searchsorted(a, pivots), len(a)]), np.diff(np.r_[0, np.searchsorted(b, pivots), len(b)])).sum())
+def with_cells(cand: DataFrame) -> DataFrame:
+    """cand with u and v: the pairs of one n-gram share a cell (gram, u, v); those of many pairs are divided into blocks of sets."""
+    number = F.count("*").over(Window.partitionBy("gram"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    blocked = cand.withColumn("blocks", F.ceil(F.sqrt(number / CELL_PAIRS)).cast("int"))
+    return blocked.select("a", "b", "gram", F.least(block("a"), block("b")).alias("u"), F.greatest(block("a"), block("b")).alias("v"))
 
 
-PIVOTS = np.array([k << 60 for k in range(1, 16)], np.uint64)
+def grouped(cells: DataFrame, n_groups: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b, gram, u, v, cell), (of_cell, fp)): the pairs by group of cells, and the sets that each group needs."""
+    cells = cells.withColumn("cell", F.pmod(F.xxhash64("gram", "u", "v"), F.lit(n_groups))).repartition("cell")
+    return cells, cells.select("cell", F.explode(F.array("a", "b")).alias("fp")).distinct().withColumnRenamed("cell", "of_cell")
+
+
+def suffix_filter(cand: DataFrame, digests: DataFrame, t: float) -> DataFrame:
+    """The candidates, with their cells, that their digests allow; digests: (fp, m, digest)."""
+    cells, wanted = grouped(with_cells(cand), int(cand.count() // GROUP_PAIRS) + 1)
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = {f: (m, d) for f, m, d in zip(*(right.column(k).to_pylist() for k in ("fp", "m", "digest")))}
+        keep = []
+        for x, y in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            (m, a), (k, b) = known.get(x, (0, b"")), known.get(y, (0, b""))
+            keep.append(bool(m and k and digest_bound(a, b, m, k) >= needed(m, k, t)))
+        return left.select(["a", "b", "gram", "u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return cells.groupBy("cell").cogroup(wanted.join(digests, "fp").groupBy("of_cell")).applyInArrow(choose, "a long, b long, gram long, u int, v int")
 
 
 def verify(cand: DataFrame, docs: DataFrame, reps: DataFrame, n: int, t: float) -> DataFrame:
     """(doc_a, doc_b, jaccard) of the candidates that have it; reps: (fp, rep)."""
-    members = cand.select("gram", F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sizes = members.groupBy("gram").agg(F.count("*").alias("n_sets"))
-    blocks = F.ceil(F.col("n_sets") / BLOCK_SETS).cast("int")
-    cells = cand.join(sizes, "gram").select("a", "b", "gram", blocks.alias("blocks"))
-    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
-    cells = cells.select("a", "b", "gram", F.least(block("a"), block("b")).alias("u"), F.greatest(block("a"), block("b")).alias("v"))
-    # small cells share a group, of about GROUP_SETS sets
-    n_groups = int(members.count() // GROUP_SETS) + 1
-    cells = common.materialise(cells.select("a", "b", F.pmod(F.xxhash64("gram", "u", "v"), F.lit(n_groups)).alias("cell")))
-    wanted = cells.select(F.col("cell").alias("of_cell"), F.explode(F.array("a", "b")).alias("fp")).distinct()
+    n_sets = cand.select("gram", "u", "v", F.explode(F.array("a", "b")).alias("fp")).agg(F.approx_count_distinct(F.struct("gram", "u", "v", "fp"))).first()[0]
+    cells, wanted = grouped(cand, int(n_sets // GROUP_SETS) + 1)
     wanted = wanted.join(reps, "fp").select("of_cell", "fp", F.col("rep").alias("doc_id"))
     texts = wanted.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").select("of_cell", "fp", "doc_id", "text")
 
@@ -231,7 +267,7 @@ def verify(cand: DataFrame, docs: DataFrame, reps: DataFrame, n: int, t: float)
                 continue  # a further set of a repeated doc_id
             (i, a), (j, b) = known[x], known[y]
             need = needed(len(a), len(b), t)
-            if i == j or suffix_bound(a, b, PIVOTS) < need:
+            if i == j:
                 continue
             shared = len(np.intersect1d(a, b, assume_unique=True))
             if shared >= need:
@@ -241,13 +277,15 @@ def verify(cand: DataFrame, docs: DataFrame, reps: DataFrame, n: int, t: float)
     return cells.groupBy("cell").cogroup(texts.groupBy("of_cell")).applyInArrow(decide, "doc_a long, doc_b long, jaccard double")
 
 
-def pairs(docs: DataFrame, n: int = 2, t: float = 0.7) -> DataFrame:
+def pairs(docs: DataFrame, n: int = 3, t: float = 0.6) -> DataFrame:
     """(doc_a, doc_b, jaccard), see above."""
     surveyed = common.materialise(survey(docs, n, t))
-    sets = surveyed.filter("slice is null").groupBy("doc_id").agg(F.min(F.struct("fp", "m")).alias("s")).select("doc_id", "s.fp", "s.m")
+    sets = surveyed.filter("slice is null").groupBy("doc_id").agg(F.min("fp").alias("fp"))
+    digests = surveyed.filter("slice is null").select("fp", "m", "digest").dropDuplicates(["fp"])
     postings = surveyed.filter("slice is null").agg(F.sum((F.col("m") * (1 - t)).cast("long") + 1)).first()[0] or 0
     reps = common.materialise(sets.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     cand = common.materialise(candidates(docs, sketch_of(surveyed), int(postings // BUCKET_POSTINGS) + 1, n, t))
+    cand = common.materialise(suffix_filter(cand, digests, t))
     near = verify(cand, docs, reps, n, t)
     equal = sets.join(reps, "fp").filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(equal)
@@ -271,7 +309,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return roots
 
 
-def keep_one(docs: DataFrame, n: int = 2, t: float = 0.7) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 3, t: float = 0.6) -> DataFrame:
     """docs without the documents that have a smaller doc_id in their group of near duplicates; of repeated rows of one doc_id all stay. Rows with a null doc_id stay."""
     roots = components(pairs(docs, n, t).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
     gone = roots.filter("id <> root").select(F.col("id").alias("\x01id"))
