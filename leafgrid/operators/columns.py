@@ -102,24 +102,28 @@ def order_of(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, number:
 
 
 def reading_order(items: DataFrame, id_col: str = "line_no", by_x: bool = True) -> DataFrame:
-    """items with column_no and reading_order (from 0 on each page). Duplicate lines keep their places."""
+    """items with column_no and reading_order (from 0 on each page). Duplicate lines keep their places.
+
+    A page's rows travel as one array; only their boxes are looked at in Python, the rest passes through in Arrow's memory.
+    """
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, out = b.schema.names, [[], []]
-            for row in b.to_pylist():
-                x, y, w, h = (np.array([i[c] for i in row["items"]], float) for c in "xywh")
-                c, o = order_of(x, y, w, h, np.arange(len(x)), by_x)
-                out[0].append(c)
-                out[1].append(o)
-            lists = [pa.array(v, pa.list_(pa.int32())) for v in out]
-            ids = [[i["id"] for i in v] for v in b.column(names.index("items")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(id_type)), *lists], [*PAGE, "id", "column_no", "reading_order"])
-
-    kind = items.schema[id_col].dataType.simpleString()
-    id_type = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
-    pages = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(c) for c in "xywh"]))).alias("items"))
-    types = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in PAGE)
-    solved = pages.mapInArrow(solve, f"{types}, id array<{kind}>, column_no array<int>, reading_order array<int>")
-    flat = solved.select(*PAGE, F.explode(F.arrays_zip("id", "column_no", "reading_order")).alias("z")).select(*PAGE, F.col("z.id").alias(id_col), "z.column_no", "z.reading_order")
-    return items.join(flat, [*PAGE, id_col])
+            lists, column, order = b.column(2), [], []
+            values, at = lists.values, lists.offsets.to_numpy()
+            boxes = [values.field(c).to_numpy(zero_copy_only=False) for c in ("_x", "_y", "_w", "_h")]
+            for s, e in zip(at[:-1], at[1:]):
+                c, o = order_of(*(v[s:e] for v in boxes), np.arange(e - s), by_x)
+                column.append(c)
+                order.append(o)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, pa.array(column, pa.list_(pa.int32())), pa.array(order, pa.list_(pa.int32()))], schema=target)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    boxes = [F.col(c).cast("double").alias(f"_{c}") for c in "xywh"]
+    rest = [c for c in items.columns if c not in PAGE]
+    packed = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("_id"), *boxes, F.struct(*rest).alias("_row")))).alias("items"))
+    shape = packed.withColumn("column_no", F.expr("cast(array() as array<int>)")).withColumn("reading_order", F.expr("cast(array() as array<int>)")).schema
+    target = to_arrow_schema(shape)
+    flat = packed.mapInArrow(solve, shape).select(*PAGE, F.explode(F.arrays_zip("items", "column_no", "reading_order")).alias("_z"))
+    return flat.select(*PAGE, *[F.col("_z.items._row")[c].alias(c) for c in rest], F.col("_z.column_no").alias("column_no"), F.col("_z.reading_order").alias("reading_order"))

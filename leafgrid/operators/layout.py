@@ -50,6 +50,24 @@ def body_stats(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*PAGE).agg(g.upper_median("h").alias("body_h"), ink.alias("body_ink"))
 
 
+def with_body_stats(lines: DataFrame) -> DataFrame:
+    """lines with their page's statistics, over one shuffle and without a join."""
+    page = "OVER (PARTITION BY doc_id, page_no)"
+    med = "percentile_disc(0.5) WITHIN GROUP (ORDER BY {} DESC) " + page
+    return lines.withColumn("body_h", F.expr(med.format("h"))).withColumn("body_ink", F.expr(f"CASE WHEN count(ink) {page} >= 5 THEN {med.format('ink')} END"))
+
+
+def with_page_regions(lines: DataFrame, regions: DataFrame) -> DataFrame:
+    """lines with _regions: the few regions of their page as an array, so that tests against all of them need one join."""
+    per_page = regions.groupBy(*PAGE).agg(F.collect_list(F.struct(F.col("kind").alias("kind"), *[F.col(c).alias(c) for c in "xywh"])).alias("_regions"))
+    return lines.join(per_page, PAGE, "left")
+
+
+def held_by(kind: str, share: float = 0.5) -> Column:
+    """Whether a region of that kind in _regions holds more than that share of the line."""
+    return F.coalesce(F.exists("_regions", lambda r: (r["kind"] == kind) & (g.share_of(g.box(), tuple(r[c] for c in "xywh")) > share)), F.lit(False))
+
+
 def block_type() -> Column:
     """The type of a line, from columns y, h, text, ink, body_h and body_ink."""
     text, y, h = F.coalesce(F.col("text"), F.lit("")), F.col("y"), F.col("h")
@@ -66,9 +84,8 @@ def block_type() -> Column:
 
 def classify(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """Lines outside figures with type, heading_level, is_excluded and requires_review; those inside boxes are asides."""
-    free = contained(lines, regions, "Figure", "left_anti")
-    boxed = contained(free, regions, "Boxed", "left_semi").select(*PAGE, "line_no").distinct().withColumn("boxed", F.lit(True))
-    typed = free.join(body_stats(free), PAGE).join(boxed, [*PAGE, "line_no"], "left")
+    free = with_page_regions(lines, regions).filter(~held_by("Figure"))
+    typed = with_body_stats(free.withColumn("boxed", held_by("Boxed")).drop("_regions"))
     kind = F.when(F.col("boxed"), "Aside").otherwise(block_type())
     return typed.withColumn("type", kind).select(
         *PAGE, "line_no", *"xywh", "text", "conf", "source", "type", t.heading_level(F.col("type")).alias("heading_level"), F.col("type").isin("Header", "Footer", "PageNumber").alias("is_excluded"), (F.col("conf") < 0.85).alias("requires_review")

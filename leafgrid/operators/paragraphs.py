@@ -30,9 +30,10 @@ def merge(blocks: DataFrame) -> DataFrame:
     """One row per paragraph: texts joined, boxes united, the lowest confidence; block ids stay those of first lines, orders are renumbered."""
     rows = F.array_sort(F.collect_list(F.struct("reading_order", "ocr_text")))
     first = lambda c: F.min_by(c, "reading_order").alias(c)
+    more = [first(c) for c in ("related_block_id", "corrected_text", "image_path") if c in blocks.columns]
     out = paragraph_ids(blocks).groupBy(*PAGE, "para").agg(
         first("block_id"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"), first("type"), first("source"), first("heading_level"), first("is_excluded"), first("is_edited"),
-        t.joined(F.transform(rows, lambda s: s["ocr_text"])).alias("ocr_text"), F.min("conf").alias("conf"), F.bool_or("requires_review").alias("requires_review"), F.count("*").alias("n_lines"),
+        t.joined(F.transform(rows, lambda s: s["ocr_text"])).alias("ocr_text"), F.min("conf").alias("conf"), F.bool_or("requires_review").alias("requires_review"), F.count("*").alias("n_lines"), *more,
     )
     order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("para")) - 1
     return out.withColumn("reading_order", order).withColumn("w", F.col("right") - F.col("x")).withColumn("h", F.col("bottom") - F.col("y")).drop("para", "right", "bottom")

@@ -44,12 +44,11 @@ def fixed_blocks(lines: DataFrame, options: Options = Options()) -> DataFrame:
     if options.writing_mode != "Auto":
         modes = modes.withColumn("writing_mode", F.lit(options.writing_mode))
     vertical = F.col("writing_mode") == "Vertical"
-    j = shown.join(modes, PAGE)
+    j = shown.join(modes, PAGE).withColumn("box", F.struct(*"xywh"))
     boxes = {c: F.when(vertical, v).otherwise(F.col(c)) for c, v in zip("xywh", (F.col("y"), 1 - F.col("x") - F.col("w"), F.col("h"), F.col("w")))}
-    turned = j.select(*PAGE, "line_no", *[v.alias(c) for c, v in boxes.items()])
-    order = columns.reading_order(turned).select(*PAGE, "line_no", "column_no", "reading_order")
-    return j.join(order, [*PAGE, "line_no"]).select(
-        *PAGE, layout.block_id(F.col("page_no"), F.col("reading_order") + 1).alias("block_id"), *"xywh", F.lit("Body").alias("type"), F.col("text").alias("ocr_text"), "conf", "source", "reading_order", (F.col("conf") < 0.85).alias("requires_review"), "writing_mode"
+    turned = j.select(*PAGE, "line_no", *[v.alias(c) for c, v in boxes.items()], "box", "text", "conf", "source", "writing_mode")
+    return columns.reading_order(turned).select(
+        *PAGE, layout.block_id(F.col("page_no"), F.col("reading_order") + 1).alias("block_id"), "box.*", F.lit("Body").alias("type"), F.col("text").alias("ocr_text"), "conf", "source", "reading_order", (F.col("conf") < 0.85).alias("requires_review"), "writing_mode"
     )
 
 
@@ -77,10 +76,7 @@ def reflow_blocks(lines: DataFrame, regions: DataFrame, merge: bool = True) -> D
     ordered = columns.reading_order(everything, "item", by_x=False)
     blocks = ordered.withColumn("block_id", layout.block_id(F.col("page_no"), F.col("reading_order") + 1)).withColumnRenamed("text", "ocr_text").drop("part", "no", "item", "column_no")
     blocks = complete(layout.captions(blocks))
-    if not merge:
-        return blocks
-    keep = blocks.select(*PAGE, "block_id", "related_block_id", "corrected_text", "image_path")
-    return paragraphs.merge(blocks).join(keep, [*PAGE, "block_id"])
+    return paragraphs.merge(blocks) if merge else blocks
 
 
 def evaluate(lines: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
