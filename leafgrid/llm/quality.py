@@ -17,7 +17,6 @@ they are.
 from __future__ import annotations
 
 import itertools
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -42,8 +41,10 @@ FUNCTION = frozenset(
     "du en que qui dans pour par sur est au avec der die das und ist von zu den mit ein eine nicht auf für im dem el los las y "
     "una por con para del se al su lo es".split()
 )
-SYMBOLS = re.compile(r"[%$#&*!|@^~<>{}\[\]\\=+]")
-RUNS = re.compile(r"[^\w\s]{2,}")
+_CODES = np.arange(256)
+SYMBOL = np.isin(_CODES, [ord(c) for c in "%$#&*!|@^~<>{}[]\\=+"])
+MARK = np.isin(_CODES, [c for c in range(33, 127) if not chr(c).isalnum() and c != 95])
+UPPER = (_CODES >= 65) & (_CODES <= 90)
 DIM_BITS = 18
 #: Letters of a word that stand for its stem in a lexicon.
 STEM = 5
@@ -60,12 +61,16 @@ def features(text: str | None, lexicon: frozenset = LEXICON) -> dict[str, float]
     hits = [seen[w] for w in lexicon.intersection(seen)]
     if stems := lexicon.intersection({w[:STEM] + "*" for w in seen}):
         hits += [c for w, c in seen.items() if w[:STEM] + "*" in stems and w not in lexicon]
-    top = sorted((c for w, c in seen.items() if w not in FUNCTION), reverse=True)[:3]
+    top = sorted((c for w, c in seen.items() if c > 2 and w not in FUNCTION), reverse=True)[:3]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    mark = MARK[raw]
+    runs = np.count_nonzero(mark[1:] & mark[:-1]) - np.count_nonzero(mark[2:] & mark[1:-1] & mark[:-2])  # runs of two or more
+    letters = sum(map(len, low))
     return {
-        "n": n, "symbol": len(SYMBOLS.findall(text)) / n, "marks": len(RUNS.findall(text)) / n, "letters": sum(map(len, low)) / max(1, len(text) - n),
-        "caps": sum(map(str.isupper, tokens)) / n, "shout": sum(map(str.isupper, text)) / len(text), "run": sum(map(str.__eq__, low, low[1:])) / n,
+        "n": n, "symbol": np.count_nonzero(SYMBOL[raw]) / n, "marks": runs / n, "letters": letters / max(1, len(text) - n),
+        "caps": sum(map(str.isupper, tokens)) / n, "shout": np.count_nonzero(UPPER[raw]) / len(raw), "run": sum(map(str.__eq__, low, low[1:])) / n,
         "line": 1 - len(set(lines)) / max(1, len(lines)), "pipe": text.count("|") / n, "unique": len(seen) / max(1, len(low)), "top": sum(top) / n,
-        "function": sum(seen[w] for w in FUNCTION.intersection(seen)) / n, "hits": sum(hits), "kinds": len(hits), "length": sum(map(len, low)) / max(1, len(low)), "seen": seen,
+        "function": sum(seen[w] for w in FUNCTION.intersection(seen)) / n, "hits": sum(hits), "kinds": len(hits), "length": letters / max(1, len(low)), "seen": seen,
     }
 
 
@@ -180,11 +185,11 @@ def probabilities(f: dict | None, weights: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def derive_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_rows: int = 20_000, support: int = 3, precision: float = 0.97) -> frozenset:
+def derive_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_rows: int = 20_000, support: int = 3, precision: float = 0.99) -> frozenset:
     """Words, and stems of STEM letters, that mark labelled toxic documents.
 
-    label_rows bounds the sample of labelled documents (drawn by a hash of the id). A word counts once per family of
-    documents that share their smallest hash of three words, so that copies of one text don't make its words look toxic.
+    label_rows bounds the sample of labelled documents (drawn by a hash of the id). A stem needs twice the support. A word counts once per family of
+    toxic documents that share their smallest hash of three words, so that copies of one text don't make its words look toxic.
     """
     labels = labels.select(F.col("doc_id"), F.col("toxic")).filter("doc_id is not null and toxic is not null")
     total, toxic = labels.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
@@ -208,10 +213,10 @@ def derive_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
         found = [Counter(), Counter()]
         once = set()
         for y, family, seen in zip(*(table.column(k).to_pylist() for k in ("toxic", "family", "seen"))):
-            if (y, family) not in once:
-                once.add((y, family))
+            if not y or family not in once:
+                once |= {family} if y else set()
                 found[bool(y)].update(seen.split(" "))
-        rows = [(w, c, found[0][w]) for w, c in found[1].items() if c >= support and c / (c + found[0][w]) >= precision]
+        rows = [(w, c, found[0][w]) for w, c in found[1].items() if c >= support * (1 + w.endswith("*")) and c / (c + found[0][w]) >= precision]
         return pa.table({"word": pa.array([x[0] for x in rows], pa.string())})
 
     # one group: a sample of label_rows documents
