@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: 2**32 / golden ratio, odd: i * STEP mod 2**32 is the golden-ratio sequence.
-STEP, RANGE = 2654435769, 4294967296
+STEP, RANGE, BIN = 2654435769, 4294967296, 1 << 20
 CHUNK = 65_536
 
 
@@ -59,9 +59,11 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_tok
     for (s, _), c, w in zip(tokens, count, share):
         edges.append((s, c, int(low / total * RANGE), int((low + w) / total * RANGE)))
         low += w
-    edge = spark.createDataFrame(edges, "source string, n_blocks long, low long, high long")  # a row per source
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), (F.col("id") * STEP % RANGE).alias("point"), F.expr(f"id div {CHUNK}").alias("chunk"), F.lit(1).alias("one"))
-    slots = slots.join(F.broadcast(edge) if len(edges) < 10_000 else edge, (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    edge = spark.createDataFrame(edges, "source string, n_blocks long, low long, high long").filter("low < high")  # a row per source
+    # bins of the range are the join's equi key, so that a slot meets the few sources of its bin
+    edge = edge.withColumn("bin", F.explode(F.expr(f"sequence(low div {BIN}, (high - 1) div {BIN})")))
+    slots = spark.range(n_slots).select(F.col("id").alias("slot"), (F.col("id") * STEP % RANGE).alias("point"), F.expr(f"id div {CHUNK}").alias("chunk"), F.lit(1).alias("one")).withColumn("bin", F.expr(f"point div {BIN}"))
+    slots = slots.join(F.broadcast(edge) if len(edges) < 10_000 else edge, (slots["bin"] == edge["bin"]) & (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
     ranked = running(slots.select("source", "n_blocks", "slot", "chunk", "one"), "source", "chunk", ["slot"], "one", "rank")
     ranked = ranked.select("source", "slot", F.expr("rank div n_blocks").alias("epoch"), F.expr("rank % n_blocks").alias("block"))
     return ranked.join(pieces, ["source", "block"]).select("slot", "source", "epoch", "block", "doc_id", "start_token", "end_token")
