@@ -185,7 +185,7 @@ def probabilities(f: dict | None, weights: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def derive_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_rows: int = 20_000, support: int = 3, precision: float = 0.99) -> frozenset:
+def derive_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_rows: int = 20_000, support: int = 5, precision: float = 0.99) -> frozenset:
     """Words, and stems of STEM letters, that mark labelled toxic documents.
 
     label_rows bounds the sample of labelled documents (drawn by a hash of the id). A stem needs twice the support. A word counts once per family of
