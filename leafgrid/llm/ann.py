@@ -133,7 +133,7 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))[:k]]
 
 
-def neighbours(vectors: DataFrame, k: int = 10, probe_share: float = 0.75, rerank: int = 80, train_rows: int = 10_000, cell_rows: int = 4000) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, probe_share: float = 0.85, rerank: int = 80, train_rows: int = 10_000, cell_rows: int = 4000) -> DataFrame:
     """(vec_id, neighbour_id, score, rank): the k rows of highest inner product for each row.
 
     probe_share: of the cells that a query visits; rerank: candidates of each part of a cell that are rescored exactly.
