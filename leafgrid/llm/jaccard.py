@@ -291,22 +291,24 @@ def pairs(docs: DataFrame, n: int = 2, t: float = 0.7) -> DataFrame:
     return near.unionByName(equal)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each connected group of (a, b) edges, for ids that have an edge.
 
-    Smallest neighbour by rounds, with the root's root taken as well; every round is cut off in the shared folder.
+    Large stars and small stars in turn, each pair of them cut off in the shared folder, until every group is one star around its
+    smallest id. Rounds grow with the logarithm of a group's size; there is no bound on them.
     """
-    both = common.materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    roots = common.materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")))
-    for _ in range(rounds):
-        step = both.join(roots, both["b"] == roots["id"]).groupBy("a").agg(F.min("root").alias("other"))
-        moved = roots.join(step, roots["id"] == step["a"]).select("id", F.least("root", "other").alias("root"), F.col("root").alias("old"))
-        up = roots.select(F.col("id").alias("root"), F.col("root").alias("upper"))
-        moved = common.materialise(moved.join(up, "root").select("id", F.least("root", "upper").alias("root"), "old"))
-        roots = moved.select("id", "root")
-        if not moved.filter("root <> old").limit(1).count():
-            break
-    return roots
+    start = common.materialise(edges.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root")).distinct())
+    links = start.filter("id <> root")
+    # a link leads from an id to a smaller one; in stars each id has one, and none leads on
+    while links.groupBy("id").agg(F.count("*").alias("n")).join(links.select(F.col("root").alias("id"), F.lit(1).alias("on")).distinct(), "id", "left").filter("n > 1 or on = 1").limit(1).count():
+        both = links.union(links.select(F.col("root"), F.col("id")))
+        least = both.groupBy("id").agg(F.least(F.col("id"), F.min("root")).alias("least"))
+        large = both.join(least, "id").filter("root > id").select(F.col("root").alias("id"), F.col("least").alias("root")).distinct()
+        least = large.groupBy("id").agg(F.min("root").alias("least"))
+        small = large.join(least, "id").select(F.when(F.col("root") > F.col("least"), F.col("root")).otherwise(F.col("id")).alias("id"), F.col("least").alias("root"))
+        links = common.materialise(small.union(least.select("id", F.col("least").alias("root"))).distinct())
+    alone = start.filter("id = root")
+    return links.union(links.select(F.col("root"), F.col("root"))).union(alone).groupBy("id").agg(F.min("root").alias("root"))
 
 
 def keep_one(docs: DataFrame, n: int = 2, t: float = 0.7) -> DataFrame:

@@ -208,6 +208,16 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent}
 
 
+def test_components_of_long_chains(spark):
+    rng = np.random.default_rng(6)
+    shuffled = rng.permutation(1000) + 5000
+    falling = [0, *range(300, 0, -1)]
+    chains = [shuffled.tolist(), [10_000 + k for k in falling], list(range(20_000, 20_700))]
+    edges = [(int(a), int(b)) for c in chains for a, b in zip(c, c[1:])]
+    got = {r.id: r.root for r in jaccard.components(spark.createDataFrame(edges + [(7, 7)], "a long, b long")).collect()}
+    assert got == {i: min(c) for c in chains for i in c} | {7: 7}
+
+
 VOCAB = {"▁": -8.0, "a": -3.0, "b": -3.0, "ab": -5.0, "▁a": -4.0, "ba": -6.0, "▁ab": -7.0, "c": -9.0, "▁▁": -5.0, "abab": -10.0}
 
 
