@@ -31,8 +31,39 @@ _PATHS = {
     1: "/free-spins-bonus?aff=91 /xxx/teen-video-7.html /buy-viagra-no-prescription /login.php?redirect=win /click?ad=728x90&cid=4 /porn/gallery/12 /torrent/full-movie-hd /casino/slots/play-now /serial-keygen-crack.exe /banner/pop.js?zone=3 /hot-singles-near-you /earn-money-fast".split(),
     0: "/en/825?page=2&ref=x /fr/25#top /news/2021/05/story.html /article/12345 /wiki/History_of_printing /de/770/ /blog/2019/travel-to-lisbon /es/853?utm_source=feed /docs/guide/chapter-3.html /recipes/apple-pie /about /research/papers/17.pdf / /archive/1998/12 /en/960 /questions/441/how-to-prune-roses".split(),
 }
-#: The small labelled table: hosts with paths of their own kind.
-LABELLED = [(f"https://{h}{p}", y) for y in (0, 1) for h, p in itertools.product(_HOSTS[y], _PATHS[y])]
+#: Words of host names: unwanted ones, and ordinary ones that stand beside either kind, so that the unwanted word decides.
+_WORDS = {
+    1: "casino bet bets betting gambling slots poker jackpot viagra cialis pills meds adult xxx porn sex sexcams escorts ads adserver banner popads clicks tracker warez torrent keygen crack pirate payday replica doubler spam phishing malware".split(),
+    0: "news weather travel wiki library garden cook sports science book tech clinic music maths history post health green shop press race record learning advice road night school hiking reader river letters free best cheap online city street loading interest thomas others nation".split(),
+}
+_SUFFIXES = "example.com example.org example.net com org net".split()
+_PREFIXES = ["", "www.", "m.", "blog."]
+
+
+def _labelled() -> list[tuple[str, int]]:
+    """Hosts with paths of their own kind; then unwanted hosts, and names of both classes under the same suffixes, with ordinary paths. Names of chance letters are
+    ordinary, unless an unwanted word stands beside them."""
+    out = [(f"https://{h}{p}", y) for y in (0, 1) for h, p in itertools.product(_HOSTS[y], _PATHS[y])]
+    out += [(f"https://{h}{p}", 1) for h, p in itertools.product(_HOSTS[1], _PATHS[0])]
+    plain, k = _WORDS[0], 0
+    for y in (0, 1):
+        for i, word in enumerate(_WORDS[y]):
+            beside = [plain[(7 * i + 5 * j + 1) % len(plain)] for j in range(8)]
+            for name in [word, *(f"{word}-{w}" if j % 2 else f"{w}-{word}" for j, w in enumerate(beside) if w != word)]:
+                for suffix in (_SUFFIXES[k % 6], _SUFFIXES[(k + 2) % 6]):
+                    out.append((f"https://{_PREFIXES[k // 2 % 4]}{name}.{suffix}{_PATHS[0][k % len(_PATHS[0])]}", y))
+                    k += 1
+    rng = np.random.default_rng(0)
+    chance = lambda: "".join(rng.choice(list("aaabcdeeeefghhiiijklmnnnooopqrrrssstttuvwxyz"), int(rng.integers(2, 9)))) + str(rng.choice(["", "", "ing", "er", "ed", "tion", "es"]))
+    names = [(f"{word}-{chance()}" if j % 2 else f"{chance()}-{word}", y) for y in (0, 1) for word in _WORDS[y] for j in range(20)]
+    for name, y in names + [(chance(), 0) for _ in range(1200)]:
+        out.append((f"https://{_PREFIXES[k // 2 % 4]}{name}.{_SUFFIXES[k % 6]}{_PATHS[0][k % len(_PATHS[0])]}", y))
+        k += 1
+    return out
+
+
+#: The small labelled table.
+LABELLED = _labelled()
 
 
 def grams(url: str | None) -> np.ndarray | None:

@@ -83,6 +83,18 @@ def test_url_holdout():
     assert np.mean(right) > 0.9
 
 
+def test_unwanted_words_of_a_host_decide(spark, data):
+    families = "casino-win free-bets cheap-pills adult-x ads-track spam-farm".split()
+    assert not any(f in u for u, _ in urls.LABELLED for f in families)
+    hosts = [(f"{p}{f}.example.{s}", False) for f in families for p, s in (("", "org"), ("www.", "com"), ("m.", "net"))] + [(f"blog.{h}.example.net", True) for h in ("ththan", "tionsh", "therin", "garden-letters")]
+    rows = [(k, f"https://{h}{p}", keep) for k, (h, keep) in enumerate(hosts) for p in ("/en/728?utm_source=feed", "/fr/25#top", "/de/770/")]
+    got = [r.keep for r in urls.score(spark.createDataFrame([(k, u) for k, u, _ in rows], "page_id long, url string")).collect()]
+    assert got == [keep for *_, keep in rows]
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    for r in urls.score(pages).join(pages.select("page_id", "url"), "page_id").collect():
+        assert r.keep != any(f in r.url for f in families), r.url
+
+
 def test_url_edges(spark):
     rows = [(1, "https://hot-casino.bet/slots/play-now"), (2, None), (3, "no url"), (4, ""), (None, "https://www.library.edu/docs"), (5, "HTTPS://USER:pw@HOT-CASINO.BET:8080/slots/play-now#top"), (1, "https://hot-casino.bet/slots/play-now"), (6, "https://a.org/" + "x" * 100_000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, keep string")
