@@ -254,6 +254,21 @@ def test_counts_of_the_given_vocabulary(docs, spark, data):
     assert tokens.count(docs([]), v).count() == 0
 
 
+def test_registered_counts_are_those_of_the_file(spark, data):
+    import sentencepiece
+
+    real = sentencepiece.SentencePieceProcessor(model_file=tokens.VOCABULARY)
+    got = {r.doc_id: r.n_tokens for r in tokens.op8_token_counts(spark, data).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert got == {i: len(real.encode(t or "")) for i, t in texts.items()}
+    counter, rng = tokens.Counter(tokens.read(tokens.VOCABULARY, own_method=True)), np.random.default_rng(1)
+    for _ in range(400):
+        text = "".join(rng.choice(list("aabcdeehinorst     .,0é日😀\n\t"), int(rng.integers(0, 60))))
+        assert counter.text(text) == len(real.encode(text)), repr(text)
+    for text in ("a" * 5000, " " * 300 + "x", "the" * 3000, "日" * 50, "<s> </s> <unk> <0x0A>"):
+        assert counter.text(text) == len(real.encode(text)), text[:20]
+
+
 def test_language_accuracy(spark, data):
     df = spark.read.parquet(f"{data}/documents.parquet")
     net = langid.fit(df.filter("doc_id % 2 = 0"))
