@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from . import common
 
 PATTERN = (
-    r"""(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_?[Kk]ey|API_?KEY|[Aa]ccess_?[Kk]ey|ACCESS_?KEY) ?[=:] ?["']?[A-Za-z0-9_/+-]{16,}"""
-    r"|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*"
+    r"""(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_?[Kk]ey|API_?KEY|[Aa]ccess_?[Kk]ey|ACCESS_?KEY)["']?[ \t]*(?::=|=>|[=:])[ \t]*["']?[A-Za-z0-9_/+-]{16,}"""
+    r"|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|(?<![A-Za-z0-9])sk-(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*"
 )
 #: What stands before an assigned value.
-ASSIGNED = r"""^[A-Za-z_]+ ?[=:] ?["']?"""
+ASSIGNED = r"""^[A-Za-z_]+["']?[ \t]*(?::=|=>|[=:])[ \t]*["']?"""
 TELLTALE = "example|placeholder|changeme|your|dummy|xxxx|0123456789|1234567890|abcdef0123"
 
 
@@ -81,13 +81,20 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.documents(spark, sf_dir))
 
 
+#: The SQL's own forms: unquoted keys, at most one space, no hyphens in sk- keys. On tables without the others both agree.
+SQL_PATTERN = (
+    r"""(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_?[Kk]ey|API_?KEY|[Aa]ccess_?[Kk]ey|ACCESS_?KEY) ?[=:] ?["']?[A-Za-z0-9_/+-]{16,}"""
+    r"|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*"
+)
+SQL_ASSIGNED = r"""^[A-Za-z_]+ ?[=:] ?["']?"""
+
 SQL = f"""
-WITH m AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '{PATTERN.replace(chr(39), chr(39) * 2)}'))) AS m FROM documents),
+WITH m AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '{SQL_PATTERN.replace(chr(39), chr(39) * 2)}'))) AS m FROM documents),
 c AS (SELECT DISTINCT doc_id, source,
- CASE WHEN regexp_matches(m, '{ASSIGNED.replace(chr(39), chr(39) * 2)}') THEN 'assignment' WHEN starts_with(m, 'AKIA') THEN 'cloud_key'
+ CASE WHEN regexp_matches(m, '{SQL_ASSIGNED.replace(chr(39), chr(39) * 2)}') THEN 'assignment' WHEN starts_with(m, 'AKIA') THEN 'cloud_key'
   WHEN starts_with(m, 'gh') THEN 'forge_token' WHEN starts_with(m, 'sk-') THEN 'api_key' WHEN starts_with(m, 'xox') THEN 'chat_token'
   WHEN starts_with(m, 'eyJ') THEN 'signed_token' ELSE 'private_key' END AS kind,
- regexp_replace(m, '{ASSIGNED.replace(chr(39), chr(39) * 2)}', '') AS value FROM m),
+ regexp_replace(m, '{SQL_ASSIGNED.replace(chr(39), chr(39) * 2)}', '') AS value FROM m),
 j AS (SELECT value, kind, count(DISTINCT doc_id) AS n_repos, count(DISTINCT source) AS n_owners FROM c GROUP BY ALL)
 SELECT DISTINCT c.doc_id, sha256(c.value) AS secret_hash, c.kind, n_repos, n_owners,
  CASE WHEN (len(list_distinct(string_split(c.value, ''))) < 8 AND c.kind <> 'private_key') OR regexp_matches(lower(c.value), '{TELLTALE}') THEN 'placeholder'

@@ -141,6 +141,18 @@ def test_secrets(docs):
     assert secrets.scan(docs([])).count() == 0 and secrets.redact(docs([])).count() == 0
 
 
+def test_secrets_of_config_and_code(docs):
+    own = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e06"
+    forms = ['{"api_key": "%s"}', "{'password': '%s'}", "token    =   '%s'", "secret\t:= %s", "'access_key' => '%s'"]
+    rows = [(k, f % (own + str(k) * 4)) for k, f in enumerate(forms)]
+    hyphened = "sk-proj-a1B2c3D4-e5F6g7H8i9J0-k1L2"
+    rows += [(20, f"key {hyphened}."), (21, "a risk-adjusted-return-on-capital-of-2019 and task-oriented-dialogue-systems, sk-learn-like-things-in-general")]
+    got = {(r.doc_id, r.kind, r.verdict) for r in secrets.scan(docs(rows)).collect()}
+    assert got == {(k, "assignment", "live") for k in range(len(forms))} | {(20, "api_key", "live")}
+    text = {r.doc_id: r.text for r in secrets.redact(docs(rows)).collect()}
+    assert all(text[k] == f % "[SECRET]" for k, f in enumerate(forms)) and text[20] == "key [SECRET]." and text[21] == rows[-1][1]
+
+
 def jaccards(rows, n, t):
     sets = {i: frozenset(g.tolist()) for (i, _), g in zip(rows, jaccard.gram_sets([x for _, x in rows], n))}
     ids = sorted(sets)
