@@ -3,15 +3,16 @@
 Vectors are quantised in subspaces of two dimensions with 16 centres each (four bits), trained and assigned so that the part of
 the residual that is parallel to the vector, which is what changes high inner products, costs more than the rest. A coarse
 k-means splits the base into cells; a query visits its best cells by centre, scans the codes there with per-query tables (two
-four-bit codes a lookup) and reranks the best of the scan with exact inner products. Every row is a query.
+four-bit codes a lookup) and reranks the best of the scan with exact inner products. All rows are indexed; the queries are the rows that
+a condition names (in the registered query, those whose id is divisible by 100).
 
-Models are trained on the driver on a bounded sample (``train_rows``). Base and queries meet per cell, both sides in parts of at most about
-PART vectors, so that neither a hot cell nor a growing table makes a large task.
+Models are trained on the driver on a bounded sample (``train_rows``). There are about as many cells as the square root of the rows, at any size. Base and
+queries meet per cell, both sides in parts of at most about PART vectors, so that neither a hot cell nor a growing table makes a large task.
 
-Defined cases: null vectors, vectors with nulls and those of another length than most are left out; zero vectors have inner product 0
-with all; ties go to the smaller vec_id; a row is no neighbour of itself but repeated rows (same vector, other id) are neighbours,
-rows of one vec_id are not; rows with a null vec_id are left out; a table of fewer than k + 1 rows gives what there is; other
-columns aren't read.
+Defined cases: null vectors, vectors with nulls, NaN or infinite numbers and those of another length than most (of several such lengths the
+smallest) are left out; zero vectors have inner product 0 with all; ties go to the smaller vec_id, where the scan is cut as well; a row is no neighbour
+of itself but repeated rows (same vector, other id) are neighbours, rows of one vec_id are not; rows with a null vec_id are left out; ids may be
+numbers or strings; a table of fewer than k + 1 rows gives what there is; an empty one no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -133,26 +134,24 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))[:k]]
 
 
-def neighbours(vectors: DataFrame, k: int = 10, probe_share: float = 0.85, rerank: int = 80, train_rows: int = 10_000, cell_rows: int = 4000) -> DataFrame:
-    """(vec_id, neighbour_id, score, rank): the k rows of highest inner product for each row.
+def neighbours(vectors: DataFrame, k: int = 10, asking: str = "true", probe_share: float = 0.85, rerank: int = 80, train_rows: int = 10_000) -> DataFrame:
+    """(vec_id, neighbour_id, score, rank): the k rows of highest inner product for each row that meets the condition ``asking``.
 
-    probe_share: of the cells that a query visits; rerank: candidates of each part of a cell that are rescored exactly.
+    probe_share: of the cells that a query visits; rerank: candidates of each part of a cell that are rescored exactly, with all that tie with the last.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v")).filter("vec_id is not null and v is not null and size(v) > 0 and not exists(v, e -> e is null)")
+    spark, kind = vectors.sparkSession, vectors.schema["vec_id"].dataType.simpleString()
+    sound = "vec_id is not null and v is not null and size(v) > 0 and not exists(v, e -> e is null or isnan(e) or abs(e) = float('infinity'))"
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("v"), F.expr(asking).alias("asks")).filter(sound)
     width = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "vec_id long, neighbour_id long, score double, rank int"
+    schema = f"vec_id {kind}, neighbour_id {kind}, score double, rank int"
     if width is None:
         return spark.createDataFrame([], schema)
     d, total = width["d"], width["count"]
     rows = rows.filter(F.size("v") == d)
-    draw = F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(1_000_003)) < int(1_000_003 * min(1, train_rows / total)) + 1
-    sample = rows.filter(draw).select("v").collect() or rows.limit(1000).select("v").collect()
-    x = np.array(sorted(tuple(r.v) for r in sample), np.float32)
+    x = np.array(sorted(tuple(r.v) for r in common.drawn(rows.select("vec_id", "v"), train_rows, total, 4).collect()), np.float32)
     if d % 2:
         x = np.c_[x, np.zeros(len(x), np.float32)]
-    n_cells = max(1, min(len(x), int(total // cell_rows)))
-    model = spark.sparkContext.broadcast(train(x, n_cells))
+    model = spark.sparkContext.broadcast(train(x, max(1, min(len(x) // 4, int(total**0.5)))))  # at most train_rows / 4 cells
     n_probe = max(1, int(np.ceil(len(model.value.cells) * probe_share)))
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -176,40 +175,44 @@ def neighbours(vectors: DataFrame, k: int = 10, probe_share: float = 0.85, reran
                 order = np.argsort(-(v @ m.cells.T), 1, kind="stable")[:, :n_probe].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(list(order), pa.list_(pa.int32()))], ["vec_id", "v", "cells"])
 
-    based = common.materialise(rows.mapInArrow(base, "cell int, vec_id long, v binary, code binary"))
+    based = common.materialise(rows.mapInArrow(base, f"cell int, vec_id {kind}, v binary, code binary"))
     parts = based.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     part = lambda c: F.pmod(F.xxhash64("vec_id", F.lit(c)), F.col("parts"))
     left = based.join(parts, "cell").select(F.xxhash64("cell", part(5).cast("int")).alias("at"), "vec_id", "v", "code")
-    visits = rows.mapInArrow(asked, "vec_id long, v binary, cells array<int>").select("vec_id", "v", F.explode("cells").alias("cell"))
+    asks = rows.filter("asks")
+    visits = asks.mapInArrow(asked, f"vec_id {kind}, v binary, cells array<int>").select("vec_id", "v", F.explode("cells").alias("cell"))
     visits = visits.join(parts, "cell").select("vec_id", "v", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("cell", p))).alias("at"))
     # queries of a place in portions of about PART as well: each meets the whole part of the base
-    portions = max(1, int(total * probe_share // PART))
+    portions = max(1, int(asks.count() * probe_share // PART))
     left = left.withColumn("portion", F.explode(F.sequence(F.lit(0), F.lit(portions - 1))))
     visits = visits.select(F.col("at").alias("q_at"), F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(portions)).cast("int").alias("q_portion"), "vec_id", "v")
 
     def meet(b: pa.Table, q: pa.Table) -> pa.Table:
+        id_kind, empty = b.schema.field("vec_id").type, np.zeros(0, int)
         out = [[], [], []]
         if b.num_rows and q.num_rows:
             stack = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(t.num_rows, -1)
-            bid, qid = (np.array(t.column("vec_id").to_pylist(), np.int64) for t in (b, q))
+            bid, qid = (np.array(t.column("vec_id").to_pylist()) for t in (b, q))
             bv, qv, codes = stack(b, "v", np.float32), stack(q, "v", np.float32), packed(stack(b, "code", np.uint8))
-            few = min(len(bid), rerank)
             for s in range(0, len(qid), 256):
                 for i, table in enumerate(tables(qv[s : s + 256], model.value.books), s):
                     score = scan(table, codes)
-                    near = np.argpartition(-score, few - 1)[:few] if few < len(score) else np.arange(len(score))
+                    cut = np.partition(score, len(score) - rerank)[len(score) - rerank] if rerank < len(score) else -np.inf
+                    near = np.flatnonzero(score >= cut)
                     near = near[bid[near] != qid[i]]
                     exact = (bv[near] @ qv[i]).astype(np.float64)
                     top = best(exact, bid[near], k)
                     out[0].append(np.full(len(top), qid[i]))
                     out[1].append(bid[near][top])
                     out[2].append(exact[top])
-        return pa.table({c: np.concatenate(v) if v else np.zeros(0, kind) for c, v, kind in zip(("vec_id", "neighbour_id", "score"), out, (np.int64, np.int64, np.float64))})
+        cols = [np.concatenate(v) if v else empty for v in out]
+        return pa.table([pa.array(cols[0].tolist(), id_kind), pa.array(cols[1].tolist(), id_kind), pa.array(cols[2], pa.float64())], ["vec_id", "neighbour_id", "score"])
 
-    met = left.groupBy("at", "portion").cogroup(visits.groupBy("q_at", "q_portion")).applyInArrow(meet, "vec_id long, neighbour_id long, score double")
+    met = left.groupBy("at", "portion").cogroup(visits.groupBy("q_at", "q_portion")).applyInArrow(meet, f"vec_id {kind}, neighbour_id {kind}, score double")
     order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour_id")
     return met.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k).dropDuplicates(["vec_id", "rank"])
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """Every row whose id is divisible by 100 asks all rows."""
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), asking="vec_id % 100 = 0")

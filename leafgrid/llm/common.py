@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 #: Entries that a worker's memo of words may hold.
 MEMO_LIMIT = 300_000
+#: The largest Bloom filter has two to the power of it bits (16 MB).
+BLOOM_BITS = 27
 
 
 def words(text: str | None) -> list[str]:
@@ -50,8 +55,11 @@ def word_hashes(texts: list[str | None], exact: bool = False) -> tuple[np.ndarra
         return np.zeros(0, np.uint64), offsets
     begin = np.cumsum(lengths) - lengths
     letters = a[inside]
-    place = (np.arange(len(letters), dtype=np.int32) - np.repeat(begin.astype(np.int32), lengths)) & 1023
-    return mix(np.add.reduceat(_BYTES[letters] * _PLACES[place], begin) + lengths.astype(np.uint64)), offsets
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(begin.astype(np.int32), lengths)
+    value = _BYTES[letters] * _PLACES[place & 1023]
+    if lengths.max() > 1024:  # each stretch of a very long word counts in another way
+        value = np.where(place < 1024, value, mix(value + (place >> 10).astype(np.uint64)))
+    return mix(np.add.reduceat(value, begin) + lengths.astype(np.uint64)), offsets
 
 
 def each(texts: list[str | None], exact: bool = False, budget: int = 400_000) -> Iterator[np.ndarray]:
@@ -113,10 +121,66 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, its lineage cut; a lost executor doesn't lose it."""
+    """df computed once and kept in the shared folder, its lineage cut; a lost executor doesn't lose it.
+
+    Shuffle files go when the driver collects what refers to them; a collection is asked for first, so that those of earlier steps don't pile up on the disks.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
+def drawn(df: DataFrame, n: int, total: int, seed: int) -> DataFrame:
+    """At most n of df's total rows, those of the smallest hashes of all columns; rows alike count once."""
+    h = F.xxhash64(*(F.col(c) for c in df.columns), F.lit(seed))
+    steps, kept = 1_000_003, df.columns
+    out = df.withColumn("\x01h", h)
+    if total > 2 * n + 1000:  # a cut that leaves more than n, so that few rows are ranked
+        out = out.filter(F.pmod("\x01h", F.lit(steps)) < int(steps * (1.3 * n + 200) / total) + 1)
+    out = out.groupBy("\x01h").agg(*(F.first(c).alias(c) for c in kept))
+    return out.orderBy(F.pmod("\x01h", F.lit(steps)), "\x01h").limit(n).select(*kept)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of our own, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
+def bloom(hashes: DataFrame, n: int) -> np.ndarray:
+    """A bit for each hash in the column h of n rows: about 16 bits a row, 2**BLOOM_BITS at most."""
+    bits = min(BLOOM_BITS, max(16, (16 * n - 1).bit_length()))
+
+    def fill(table: pa.Table) -> pa.Table:
+        out = np.zeros(1 << bits - 6, np.uint8)
+        out[table.column("place").to_numpy() & (1 << bits - 6) - 1] = 1
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
+
+    placed = hashes.select(F.expr(f"h & {(1 << bits) - 1}").alias("place")).distinct().withColumn("part", F.expr(f"place >> {bits - 6}").cast("int"))
+    out = np.zeros((64, 1 << bits - 9), np.uint8)
+    for r in placed.groupBy("part").applyInArrow(fill, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def likely(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(doc_id, text) of docs whose doc_id is one of those in wanted (about n), and some others, before a join that drops these: few texts need be moved."""
+    known = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.xxhash64("doc_id").alias("h")), n))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
+        for b in batches:
+            at = b.column(2).to_numpy() & len(bits) * 8 - 1
+            keep = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
+
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).filter("doc_id is not null").mapInArrow(choose, f"doc_id {id_type(docs)}, text string")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
