@@ -10,8 +10,9 @@ its source the owner). Only candidates are shuffled, never texts, except that ``
 
 Defined cases: null and empty texts hold no candidates; a null owner or repository isn't counted; a value that occurs twice in a
 document is reported once for it; rows with a null doc_id are reported with the null, and ``redact`` treats each of their
-candidates as live; repeated rows count once per distinct repository; empty tables give no rows; other columns pass through
-``redact``.
+candidates as live; a text of any length is searched whole; of values of which one holds the other, the longer is replaced first; of forms that match at one
+place the first in PATTERN counts; a count equal to min_owners or min_repos reaches it; repeated rows count once per distinct
+repository; empty tables give no rows; other columns pass through ``redact``. Assigned values of fewer than 16 characters are no candidates.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from . import common
 
 PATTERN = (
     r"""(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_?[Kk]ey|API_?KEY|[Aa]ccess_?[Kk]ey|ACCESS_?KEY)["']?[ \t]*(?::=|=>|[=:])[ \t]*["']?[A-Za-z0-9_/+-]{16,}"""
-    r"|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|(?<![A-Za-z0-9])sk-(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*"
+    r"|AKIA[0-9A-Z]{16}|AIza[A-Za-z0-9_-]{35}|gh[opsu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|sk-(?:proj|svcacct|or-v1|ant-api[0-9]{2})-[A-Za-z0-9_-]{16,}|sk-[A-Za-z0-9]{20,}|[rs]k_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*"
 )
 #: What stands before an assigned value.
 ASSIGNED = r"""^[A-Za-z_]+["']?[ \t]*(?::=|=>|[=:])[ \t]*["']?"""
@@ -32,7 +33,7 @@ TELLTALE = "example|placeholder|changeme|your|dummy|xxxx|0123456789|1234567890|a
 
 def _kind(match: Column) -> Column:
     return (
-        F.when(match.rlike(ASSIGNED), "assignment").when(match.startswith("AKIA"), "cloud_key").when(match.startswith("gh"), "forge_token").when(match.startswith("sk-"), "api_key").when(match.startswith("xox"), "chat_token").when(match.startswith("eyJ"), "signed_token").otherwise("private_key")
+        F.when(match.rlike(ASSIGNED), "assignment").when(match.rlike("^(AKIA|AIza)"), "cloud_key").when(match.rlike("^(gh._|github)"), "forge_token").when(match.rlike("^[rs]k[-_]"), "api_key").when(match.startswith("xox"), "chat_token").when(match.startswith("eyJ"), "signed_token").otherwise("private_key")
     )
 
 
@@ -65,8 +66,9 @@ def redact(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source",
     """docs with every live-looking credential replaced by mark; all columns, no row lost. n_chars, if there, follows the text."""
     found = common.materialise(candidates(docs, repo_col, owner_col))
     live = judged(found, **limits).filter("verdict = 'live'").select("value", "kind")
-    owned = found.filter("doc_id is not null").join(live, ["value", "kind"]).groupBy("doc_id").agg(F.array_sort(F.collect_set("value")).alias("live"))
-    owned = owned.select(F.col("doc_id").alias("\x01id"), F.transform("live", lambda v: v).alias("\x01live"))
+    owned = found.filter("doc_id is not null").join(live, ["value", "kind"]).groupBy("doc_id").agg(F.collect_set(F.struct((-F.length("value")).alias("n"), "value")).alias("live"))
+    # the longest first: a value may be the beginning of another
+    owned = owned.select(F.col("doc_id").alias("\x01id"), F.transform(F.array_sort("live"), lambda v: v["value"]).alias("\x01live"))
     joined = docs.join(owned, docs["doc_id"].eqNullSafe(F.col("\x01id")), "left")
     hidden = F.when(F.col("doc_id").isNull(), F.regexp_replace("text", PATTERN, mark)).otherwise(
         F.when(F.col("\x01live").isNull(), F.col("text")).otherwise(F.aggregate("\x01live", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
@@ -81,20 +83,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.documents(spark, sf_dir))
 
 
-#: The SQL's own forms: unquoted keys, at most one space, no hyphens in sk- keys. On tables without the others both agree.
-SQL_PATTERN = (
-    r"""(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_?[Kk]ey|API_?KEY|[Aa]ccess_?[Kk]ey|ACCESS_?KEY) ?[=:] ?["']?[A-Za-z0-9_/+-]{16,}"""
-    r"|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*"
-)
-SQL_ASSIGNED = r"""^[A-Za-z_]+ ?[=:] ?["']?"""
-
 SQL = f"""
-WITH m AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '{SQL_PATTERN.replace(chr(39), chr(39) * 2)}'))) AS m FROM documents),
+WITH m AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '{PATTERN.replace(chr(39), chr(39) * 2)}'))) AS m FROM documents),
 c AS (SELECT DISTINCT doc_id, source,
- CASE WHEN regexp_matches(m, '{SQL_ASSIGNED.replace(chr(39), chr(39) * 2)}') THEN 'assignment' WHEN starts_with(m, 'AKIA') THEN 'cloud_key'
-  WHEN starts_with(m, 'gh') THEN 'forge_token' WHEN starts_with(m, 'sk-') THEN 'api_key' WHEN starts_with(m, 'xox') THEN 'chat_token'
+ CASE WHEN regexp_matches(m, '{ASSIGNED.replace(chr(39), chr(39) * 2)}') THEN 'assignment' WHEN regexp_matches(m, '^(AKIA|AIza)') THEN 'cloud_key'
+  WHEN regexp_matches(m, '^(gh._|github)') THEN 'forge_token' WHEN regexp_matches(m, '^[rs]k[-_]') THEN 'api_key' WHEN starts_with(m, 'xox') THEN 'chat_token'
   WHEN starts_with(m, 'eyJ') THEN 'signed_token' ELSE 'private_key' END AS kind,
- regexp_replace(m, '{SQL_ASSIGNED.replace(chr(39), chr(39) * 2)}', '') AS value FROM m),
+ regexp_replace(m, '{ASSIGNED.replace(chr(39), chr(39) * 2)}', '') AS value FROM m),
 j AS (SELECT value, kind, count(DISTINCT doc_id) AS n_repos, count(DISTINCT source) AS n_owners FROM c GROUP BY ALL)
 SELECT DISTINCT c.doc_id, sha256(c.value) AS secret_hash, c.kind, n_repos, n_owners,
  CASE WHEN (len(list_distinct(string_split(c.value, ''))) < 8 AND c.kind <> 'private_key') OR regexp_matches(lower(c.value), '{TELLTALE}') THEN 'placeholder'
