@@ -6,8 +6,8 @@ texts in batches, the windows' log-probabilities are summed per document. A filt
 first layer sees one-hot bytes), so pairs of bytes are looked up at once.
 
 Defined cases: null and empty texts get a null language and probability; ties go to the first language in order of name; a null
-label isn't trained on; with no labelled text every language is null; repeated rows are judged alike; an empty table gives no
-rows; other columns aren't read.
+label isn't trained on; with no labelled text every language is null; a text of any length is judged by all its windows; repeated rows are judged alike and trained
+on once; ids may be null, repeated or of any type; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def forward(net: Network, pairs: list[list[np.ndarray]], x: np.ndarray) -> np.nd
     return y - np.log(np.exp(y).sum(1, keepdims=True))
 
 
-def spread(w: np.ndarray, n: int = 4) -> np.ndarray:
+def spread(w: np.ndarray, n: int) -> np.ndarray:
     """n of the windows, evenly over the text (all, if there are fewer)."""
     return w if len(w) <= n else w[np.linspace(0, len(w) - 1, n).astype(int)]
 
@@ -153,19 +153,17 @@ def judge(net: Network, pairs: list[list[np.ndarray]], texts: list[str | None],
     yield from flush()
 
 
-def fit(docs: DataFrame, label_col: str = "lang", train_rows: int = 3000) -> Network | None:
-    """The network. train_rows bounds the labelled documents that it is fitted on (drawn by a hash of the id)."""
+def fit(docs: DataFrame, label_col: str = "lang", train_rows: int = 3000, train_windows: int = 4) -> Network | None:
+    """The network. train_rows bounds the labelled documents that it is fitted on (drawn by a hash of id, text and label), train_windows the windows of each."""
     labelled = docs.select("doc_id", "text", F.col(label_col).alias("label")).filter("label is not null and text <> ''")
     total = labelled.count()
     if not total:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003)) < int(1_000_003 * min(1, train_rows / total)) + 1
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([spread(windows(t)).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], ["windows", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([spread(windows(t), train_windows).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], ["windows", "label"])
 
-    rows = labelled.filter(draw).select("text", "label").mapInArrow(cut, "windows binary, label string").collect()
+    rows = common.drawn(labelled, train_rows, total, 3).select("text", "label").mapInArrow(cut, "windows binary, label string").collect()
     return train([(np.frombuffer(w, np.uint8).reshape(-1, WINDOW), y) for w, y in sorted((bytes(r[0]), r[1]) for r in rows)])
 
 
