@@ -2,6 +2,11 @@
 
 Each function of STAGES takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of docs.
+
+Defined cases: documents of null or empty text go in the first stage; a null doc_id is a document like others, of which near copies aren't sought and all
+credentials are blotted out; repeated rows of one doc_id stay or go together; texts of any length are worked on whole; ties are settled as the
+operators say; an empty table goes through all stages and gives an empty schedule; further columns, whatever their names, pass through all
+stages but the last.
 """
 
 from __future__ import annotations
@@ -14,17 +19,17 @@ from leafgrid.llm import common, decontaminate, jaccard, mixture, quality, secre
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; p_good equal to the threshold stays."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the smallest doc_id."""
+    """One document of each group of near duplicates stays, the one of the smallest doc_id; rows without words or doc_id are in no group and stay."""
     return jaccard.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go; texts without words hold none."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -34,7 +39,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The schedule: which piece of which document is in which slot."""
+    """The schedule: which piece of which document is in which slot; a null source is one of its own."""
     return mixture.schedule(docs)
 
 
@@ -57,4 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # the last stage's rows are read by the caller
+            common.remove(spark, f"{folder}/{k - 1}")
     return docs

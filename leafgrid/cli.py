@@ -1,6 +1,7 @@
 """Command line: info, convert, evaluate, analyze and export over tables of lines and regions.
 
-Inputs are Parquet folders of lines (and regions), as the decoders write them, or --documents for plain texts.
+Inputs are Parquet folders of lines and regions (and, for books with images, pages and images), as the decoders write them, or
+--documents for plain texts. convert and export write an e-book per document, or with --format blocks the blocks as Parquet.
 """
 
 from __future__ import annotations
@@ -25,7 +26,15 @@ def parse(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--layout", choices=["fixed", "reflow"], default="fixed")
     p.add_argument("--max-pages", type=int)
     p.add_argument("--writing-mode", choices=["Auto", "Horizontal", "Vertical"], default="Auto")
-    p.add_argument("--jpeg-quality", type=int, default=85)
+    for mode in ("horizontal", "vertical"):
+        p.add_argument(f"--{mode}", dest="writing_mode", action="store_const", const=mode.capitalize())
+    p.add_argument("--format", choices=["epub", "blocks"], default="epub")
+    p.add_argument("--image-quality", "--jpeg-quality", dest="jpeg_quality", type=int, default=85)
+    p.add_argument("--max-image-size", type=int, default=2200, help="longest side of a page image that is kept as it is; 0 for any")
+    p.add_argument("--dpi", type=int, default=300, help="that pages without an image size are taken to have been drawn at")
+    p.add_argument("--enhance", action="store_true", help="show the processed images of pages")
+    p.add_argument("--cover", action="store_true", help="the first page's image is the cover of a reflowing book")
+    p.add_argument("--ollama", metavar="ANSWERS", nargs="?", const="answers", help="folder in the input with a model's answers (labels, corrections)")
     p.add_argument("--documents", action="store_true", help="inputs are tables of plain documents")
     p.add_argument("--master")
     a = p.parse_args(argv)
@@ -44,12 +53,41 @@ def read(spark, a: argparse.Namespace, path: str) -> tuple[DataFrame, DataFrame]
     return spark.read.parquet(f"{path}/lines"), spark.read.parquet(f"{path}/regions")
 
 
+def books(spark, a: argparse.Namespace, path: str, blocks: DataFrame, options: convert.Options, out: str) -> None:
+    """An e-book for each document of the blocks; the folder's pages and images go into it, where there are some."""
+    there = lambda name: None if a.documents or not projects.exists(spark, f"{path}/{name}") else spark.read.parquet(f"{path}/{name}")
+    pages_, images_ = there("pages"), there("images")
+    if pages_ is not None and not a.enhance:
+        pages_ = pages_.withColumn("processed_image", F.lit(None).cast("string"))
+    titles = blocks.groupBy("doc_id").agg(F.max("writing_mode").alias("writing_mode")) if "writing_mode" in blocks.columns else blocks.select("doc_id", F.lit("Horizontal").alias("writing_mode")).distinct()
+    made = titles.join(convert.book_title(blocks), "doc_id", "left").select(
+        "doc_id", F.coalesce("title", F.concat(F.lit("Document "), F.col("doc_id").cast("string"))).alias("title"), F.lit("").alias("author"), F.lit("").alias("publisher"), F.lit(options.language or "en").alias("language"), "writing_mode", F.md5(F.concat(F.lit(path), F.col("doc_id").cast("string"))).alias("project_id")
+    )
+    if options.preserve_all_lines:
+        if pages_ is None:  # pages of text alone, of the size of a letter
+            pages_ = blocks.select("doc_id", "page_no", "writing_mode").distinct().select("doc_id", "page_no", F.lit(612).alias("width"), F.lit(792).alias("height"), F.lit("blank.png").alias("original_image"), F.lit(None).cast("string").alias("processed_image"), "writing_mode")
+        else:
+            points = lambda c: F.when(F.col("unit") == "px", (F.col(c) * 72 / options.dpi).cast("int")).otherwise(F.col(c)) if "unit" in pages_.columns else F.col(c)
+            pages_ = pages_.join(blocks.select("doc_id", "page_no", "writing_mode").distinct(), ["doc_id", "page_no"]).withColumns({c: points(c) for c in ("width", "height")})
+        files, held = convert.fixed_book(pages_, blocks, made), convert.page_images(pages_)
+    else:
+        covered = pages_ if options.cover else None
+        files, held = convert.reflow_book(blocks, made, pages=covered), convert.book_images(blocks)
+        if covered is not None:
+            held = held.unionByName(convert.cover_images(covered))
+    files = convert.with_images(files, held, images_) if images_ is not None else files.withColumn("content", F.encode("content", "utf-8"))
+    os.makedirs(out, exist_ok=True)
+    projects.write_packages(projects.packed(files), out)
+
+
 def work(spark, a: argparse.Namespace, path: str, out: str) -> None:
+    options = convert.Options(dpi=a.dpi, enhance=a.enhance, cover=a.cover, longest_side=a.max_image_size, preserve_all_lines=a.layout == "fixed", max_pages=a.max_pages, writing_mode=a.writing_mode, jpeg_quality=a.jpeg_quality)
     if a.verb == "export":
         blocks = projects.load(spark, path)
-        return blocks.write.mode("overwrite").parquet(out)
+        if a.format == "blocks":
+            return blocks.write.mode("overwrite").parquet(out)
+        return books(spark, a, path, convert.complete(blocks), options, out)
     lines, regions = read(spark, a, path)
-    options = convert.Options(preserve_all_lines=a.layout == "fixed", max_pages=a.max_pages, writing_mode=a.writing_mode, jpeg_quality=a.jpeg_quality)
     lines = pages.first_pages(lines, options.max_pages)
     if a.verb == "evaluate":
         per_page, per_doc = convert.evaluate(lines, regions)
@@ -57,7 +95,12 @@ def work(spark, a: argparse.Namespace, path: str, out: str) -> None:
     blocks = convert.complete(convert.fixed_blocks(lines, options) if options.preserve_all_lines else convert.reflow_blocks(lines, regions))
     if a.verb == "analyze":
         return projects.save(blocks, out)
-    blocks.write.mode("overwrite").parquet(out)
+    if a.ollama and not a.documents:
+        answers = [spark.read.parquet(f) if projects.exists(spark, f) else None for f in (f"{path}/{a.ollama}/labels", f"{path}/{a.ollama}/corrections")]
+        blocks = convert.with_models(blocks, *answers)
+    if a.format == "blocks":
+        return blocks.write.mode("overwrite").parquet(out)
+    books(spark, a, path, blocks, options, out)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Unicode white space; \s alone is ASCII's.
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+VISIBLE = "[^" + WS[1:]
 CJK = r"[\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
 KANA, HANGUL = r"[\x{3041}-\x{30FF}]", r"[\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}]"
 IDEOGRAPH = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]"
@@ -25,15 +26,16 @@ BLOCK_TYPES = "Unknown ChapterTitle SectionHeading Subheading Body Figure Captio
 
 def count_of(text: Column, pattern: str) -> Column:
     """Characters of the class that the pattern stands for."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def nonspace(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, WS, ""))
+    return F.length(text) - F.regexp_count(text, F.lit(WS))
 
 
 def is_blank(text: Column) -> Column:
-    return nonspace(F.coalesce(text, F.lit(""))) == 0
+    """The search ends at the first visible character."""
+    return ~F.coalesce(text, F.lit("")).rlike(VISIBLE)
 
 
 def trimmed(text: Column) -> Column:
@@ -42,11 +44,12 @@ def trimmed(text: Column) -> Column:
 
 def word_ratio(text: Column) -> Column:
     """Letters and decimal digits among the characters that aren't white space; 0 if there are none."""
-    return F.when(nonspace(text) > 0, count_of(text, r"[\p{L}\p{Nd}]") / nonspace(text)).otherwise(0.0)
+    seen = nonspace(text)
+    return F.when(seen > 0, (seen - count_of(text, r"[^\p{L}\p{Nd}" + WS[1:])) / seen).otherwise(0.0)
 
 
 def has_digit_run(text: Column, length: int = 16) -> Column:
-    return F.regexp_replace(text, WS, "").rlike(f"[0-9]{{{length}}}")
+    return text.rlike(f"(?:[0-9]{WS}*+){{{length - 1}}}[0-9]")
 
 
 def join_pair(a: Column, b: Column) -> Column:

@@ -8,8 +8,10 @@ document, so reordered passages count in full.
 The documents are read once and never shuffled. The test items travel to the executors in blocks of at most ``block_bytes`` of
 text: one block for a benchmark of usual size, several (each a further pass over the documents) for a larger one.
 
-Defined cases: null or empty texts and items match nothing; items shorter than ``min_match`` count if they occur as a whole;
-rows with a null doc_id or item_id are reported with that null; repeated rows are each reported; empty tables give no rows;
+Defined cases: null or empty texts and items match nothing; items shorter than ``min_match`` count if they occur as a whole (a benchmark of single words
+would mark each text that has one: leave such items out); text without blanks, as in Chinese or Japanese, is one word; texts of any length are read whole; of equally long matches
+the one that starts first in the item goes first, then in the document; a share equal to coverage counts; doc_ids may be of any type, item_ids are
+whole numbers or are written as strings; rows with a null doc_id or item_id are reported with that null; repeated rows are each reported; empty tables give no rows;
 other columns aren't read by ``contaminated`` and pass through ``keep_clean``.
 """
 
@@ -94,16 +96,23 @@ class Block:
             g = common.ngrams(h, n)
             lo = np.searchsorted(flat, g)
             hit = np.flatnonzero(flat[np.minimum(lo, len(flat) - 1)] == g)
-            pairs = defaultdict(list)
-            for j in hit:
-                for s in range(lo[j], np.searchsorted(flat, g[j], "right")):
-                    pairs[owner[s]].append((int(at[s]), int(j)))
-            for k, seeds in pairs.items():
+            if not len(hit):
+                continue
+            first, times = lo[hit], np.searchsorted(flat, g[hit], "right") - lo[hit]
+            which = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+            own, i, j = owner[which], at[which], np.repeat(hit, times)
+            order = np.lexsort((j, i, own))
+            own, i, j = own[order], i[order], j[order]
+            # tiles consist of seeds: of each item no more words than its seeds cover can be tiled
+            same = own[1:] == own[:-1]
+            covered = np.r_[np.where(same, np.minimum(i[1:] - i[:-1], n), n), n]
+            start = np.flatnonzero(np.r_[True, ~same])
+            for s, e, c in zip(start, np.r_[start[1:], len(own)], np.add.reduceat(covered, start)):
+                k = own[s]
                 item = self.items[k][1]
-                possible = {i + x for i in {i for i, _ in seeds} for x in range(n)}
-                if len(possible) < coverage * len(item):  # tiles consist of seeds
+                if c < coverage * len(item):
                     continue
-                found = tiles(item, h, seeds, n)
+                found = tiles(item, h, list(zip(i[s:e].tolist(), j[s:e].tolist())), n)
                 share = sum(x[2] for x in found) / len(item)
                 if share >= coverage:
                     out.append((self.items[k][0], share, len(found), found[0][2]))
@@ -114,7 +123,8 @@ def blocks(bench: DataFrame, min_match: int, block_bytes: int) -> Iterator[Block
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
     for k in range(n):
-        part = bench.select("item_id", "text").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        number = bench.schema["item_id"].dataType.typeName() in ("long", "integer", "short", "byte")
+        part = bench.select("item_id" if number else F.col("item_id").cast("string").alias("item_id"), "text").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield Block([tuple(r) for r in part.collect()], min_match)
 
 
@@ -130,7 +140,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, coverage: float = 0.5, min_m
                 rows = [(i, *x) for i, h in zip(ids, common.each(b.column(1).to_pylist())) for x in shared.value.found(h, coverage)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((b.schema.field(0).type, item_type, pa.float64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "coverage", "tiles", "longest"])
 
-        item_type = pa.int64() if bench.schema["item_id"].dataType.typeName() in ("long", "integer", "short") else pa.string()
+        item_type = pa.int64() if bench.schema["item_id"].dataType.typeName() in ("long", "integer", "short", "byte") else pa.string()
         found = docs.select("doc_id", "text").mapInArrow(search, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {'long' if item_type == pa.int64() else 'string'}, coverage double, tiles int, longest int")
         out = found if out is None else out.unionByName(found)
     return out

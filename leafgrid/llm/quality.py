@@ -2,21 +2,28 @@
 
 Overlapping heuristic labellers vote "good", "junk", "toxic" or abstain on every document. Expectation-maximisation over the
 counts of all vote patterns of the whole corpus estimates each labeller's accuracy (a table class -> vote) and the class
-shares; the posterior labels then train a hashed linear (softmax) scorer, which decides on every document. Where a table of
-labels is given, the lexicon of the toxicity labellers is extended by words that mark labelled toxic documents.
+shares; the posterior labels then train a hashed linear (softmax) scorer, which decides on every document.
+
+Toxicity is a matter of share: a labeller votes for it where a text has two entries of its list or more and they make up TOXIC_SHARE of its words; a
+single mention anywhere, or a few in a long text, get no vote. One labeller reads a built-in English list. Where a table of labels is given, another one reads
+words, and stems, that labelled toxic documents have and others don't, as far as the evidence can't be chance; a third looks at how many different
+entries of both there are. Labellers of function words and word lengths abstain on very short texts and on scripts that these say nothing about.
+Source code counts as junk: the classifier is one of prose.
 
 Two passes over the texts: one counts vote patterns (what leaves the executors is one row per distinct pattern, a number
 bounded by the labellers' votes, not by the corpus), one scores. The scorer is fitted on a bounded sample of documents
-(``train_rows``); counts and decisions cover all documents.
+(``train_rows``, rows alike once), the list on a bounded sample of labels (``label_rows``); counts and decisions cover all documents.
 
-Defined cases: a null or empty text has no words, gets p_good 0 and is rejected; a null doc_id is passed through; repeated
-rows are decided on alike; an empty table gives an empty result; other columns are not read, ``keep_good`` returns them as
-they are.
+Defined cases: a null or empty text has no words, gets p_good 0 and is rejected; a text of any length is read whole; p_good equal to the threshold keeps; a null
+doc_id is passed through; repeated rows are decided on alike, of repeated labels of one id the toxic one counts; an empty table gives an
+empty result; other columns are not read, ``keep_good`` returns them as they are.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -46,39 +53,56 @@ SYMBOL = np.isin(_CODES, [ord(c) for c in "%$#&*!|@^~<>{}[]\\=+"])
 MARK = np.isin(_CODES, [c for c in range(33, 127) if not chr(c).isalnum() and c != 95])
 UPPER = (_CODES >= 65) & (_CODES <= 90)
 DIM_BITS = 18
+#: The share of entries of a list among a text's words from which it counts as toxic.
+TOXIC_SHARE = 0.004
+#: Scripts other than Latin, and those of them that are written without spaces.
+_OTHER = re.compile("[\u0370-\u1fff\u3040-\ud7ff\uf900-\ufdff\ufe70-\ufeff]")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 #: Letters of a word that stand for its stem in a lexicon.
 STEM = 5
 
 
-def features(text: str | None, lexicon: frozenset = LEXICON) -> dict[str, float] | None:
+def features(text: str | None, learned: frozenset = frozenset()) -> dict[str, float] | None:
     """Measures that the labellers and the scorer use; None if there are no words."""
     if not text or not (tokens := text.split()):
         return None
     n = len(tokens)
+    foreign = unspaced = 0
+    if not text.isascii():
+        foreign, unspaced = len(_OTHER.findall(text)), len(_UNSPACED.findall(text))
+        n += unspaced // 2
     low = common.WORD.findall(text.lower())
     seen = Counter(low)
     lines = [x for x in text.split("\n") if x.strip()]
-    hits = [seen[w] for w in lexicon.intersection(seen)]
-    if stems := lexicon.intersection({w[:STEM] + "*" for w in seen}):
-        hits += [c for w, c in seen.items() if w[:STEM] + "*" in stems and w not in lexicon]
+    built_in = [seen[w] for w in LEXICON.intersection(seen)]
+    found = [c for w, c in seen.items() if w in learned or w[:STEM] + "*" in learned] if learned else []
     top = sorted((c for w, c in seen.items() if c > 2 and w not in FUNCTION), reverse=True)[:3]
     raw = np.frombuffer(text.encode(), np.uint8)
     mark = MARK[raw]
     runs = np.count_nonzero(mark[1:] & mark[:-1]) - np.count_nonzero(mark[2:] & mark[1:-1] & mark[:-2])  # runs of two or more
     letters = sum(map(len, low))
+    plain = 2 * foreign < letters and n >= 8  # a few words say nothing about their kind
     return {
-        "n": n, "symbol": np.count_nonzero(SYMBOL[raw]) / n, "marks": runs / n, "letters": letters / max(1, len(text) - n),
+        "n": n, "symbol": np.count_nonzero(SYMBOL[raw]) / n, "marks": runs / n, "letters": letters / max(1, len(text) - len(tokens)),
         "caps": sum(map(str.isupper, tokens)) / n, "shout": np.count_nonzero(UPPER[raw]) / len(raw), "run": sum(map(str.__eq__, low, low[1:])) / n,
         "line": 1 - len(set(lines)) / max(1, len(lines)), "pipe": text.count("|") / n, "unique": len(seen) / max(1, len(low)), "top": sum(top) / n,
-        "function": sum(seen[w] for w in FUNCTION.intersection(seen)) / n, "hits": sum(hits), "kinds": len(hits), "length": letters / max(1, len(low)), "seen": seen,
+        "function": sum(seen[w] for w in FUNCTION.intersection(seen)) / n if plain else None, "length": letters / max(1, len(low)) if plain else None,
+        "built_in": _share(built_in, n), "learned": _share(found, n), "kinds": len(built_in) + len(found), "both": _share(built_in + found, n), "seen": seen,
     }
 
 
+def _share(counts: list[int], n: int) -> float | None:
+    """The entries' share of the words, None for a single mention."""
+    total = sum(counts)
+    return None if total == 1 else total / n
+
+
 def votes(f: dict[str, float] | None) -> str:
     """One letter per labeller: g, j, t or - for abstaining; e alone for a text without words. Several labellers look at each fault."""
     if f is None:
         return "e"
     long = f["n"] > 30
+    toxic = lambda share: "-" if share is None or 0 < share < TOXIC_SHARE else "t" if share else "g"
     v = [
         "j" if f["symbol"] > 0.4 else "g" if f["symbol"] < 0.05 else "-",
         "j" if f["marks"] > 0.2 else "g" if f["marks"] < 0.05 else "-",
@@ -90,11 +114,11 @@ def votes(f: dict[str, float] | None) -> str:
         "j" if f["pipe"] > 0.2 else "-",
         "j" if f["unique"] < 0.2 and long else "g" if f["unique"] > 0.5 else "-",
         "j" if f["top"] > 0.3 and long else "-",
-        "g" if f["function"] > 0.1 else "j" if f["function"] < 0.02 and long else "-",
-        "j" if f["length"] > 14 or f["length"] < 2 else "-",
-        "t" if f["hits"] else "-",
-        "t" if f["kinds"] > 1 else "g" if not f["kinds"] else "-",
-        "t" if f["hits"] / f["n"] > 0.002 else "-",
+        "-" if f["function"] is None else "g" if f["function"] > 0.1 else "j" if f["function"] < 0.02 and long else "-",
+        "-" if f["length"] is None else "j" if f["length"] > 14 or f["length"] < 2 else "-",
+        toxic(f["built_in"]),
+        toxic(f["learned"]),
+        "g" if not f["kinds"] else "t" if f["kinds"] > 1 and f["both"] >= TOXIC_SHARE else "-",
     ]
     return "".join(v)
 
@@ -103,13 +127,13 @@ def em(patterns: list[str], counts: list[int], rounds: int = 60) -> tuple[np.nda
     """(class shares, accuracies[labeller, class, vote], posterior[pattern, class]) by expectation-maximisation.
 
     Votes are independent given the class. A pattern belongs only to classes that a labeller voted for, and the start is the
-    share of votes for each class, so that classes keep their names.
+    weighed share of votes for each class, so that classes keep their names; from there on votes have the weight that their labeller's accuracy gives them.
     """
     letters = "gjt-"
     x = np.array([[letters.index(c) for c in p] for p in patterns]).reshape(len(patterns), -1)
     w = np.asarray(counts, float)
     start = np.stack([(x == k).sum(1) for k in range(3)], 1).astype(float)
-    start *= [0.3, 2.0, 6.0]  # a vote for a fault weighs more than one for its absence
+    start *= [0.3, 2.0, 6.0]  # a vote for a fault says more than one for its absence
     voted = (start > 0) | (start.sum(1, keepdims=True) == 0)
     post = (start + 1e-9) / (start + 1e-9).sum(1, keepdims=True)
     for _ in range(rounds):
@@ -141,8 +165,8 @@ def hashed(f: dict) -> tuple[np.ndarray, np.ndarray]:
     """Feature indices and values: words (weighed down by their number) and the binned measures."""
     seen = f["seen"]
     bins = [
-        f"\x00{k}:{sum(f[k] > c for c in cuts)}"
-        for k, cuts in (("symbol", (0.05, 0.2, 0.5, 1)), ("caps", (0.1, 0.3, 0.5, 0.8)), ("run", (0.02, 0.1, 0.2, 0.5)), ("line", (0, 0.1, 0.3, 0.6)), ("marks", (0.05, 0.2, 0.5)), ("letters", (0.7, 0.85, 0.95)), ("shout", (0.05, 0.1, 0.3)), ("top", (0.1, 0.3, 0.5)), ("pipe", (0.02, 0.1, 0.25)), ("unique", (0.05, 0.15, 0.3)), ("function", (0.02, 0.1, 0.2)), ("length", (2, 4, 8, 14)), ("hits", (0, 1, 3)), ("kinds", (0, 1, 3)))
+        f"\x00{k}:{'?' if f[k] is None else sum(f[k] > c for c in cuts)}"
+        for k, cuts in (("symbol", (0.05, 0.2, 0.5, 1)), ("caps", (0.1, 0.3, 0.5, 0.8)), ("run", (0.02, 0.1, 0.2, 0.5)), ("line", (0, 0.1, 0.3, 0.6)), ("marks", (0.05, 0.2, 0.5)), ("letters", (0.7, 0.85, 0.95)), ("shout", (0.05, 0.1, 0.3)), ("top", (0.1, 0.3, 0.5)), ("pipe", (0.02, 0.1, 0.25)), ("unique", (0.05, 0.15, 0.3)), ("function", (0.02, 0.1, 0.2)), ("length", (2, 4, 8, 14)), ("built_in", (TOXIC_SHARE, 0.01)), ("learned", (TOXIC_SHARE, 0.01)), ("both", (TOXIC_SHARE, 0.01)))
     ]
     index = np.fromiter(map(_index.__getitem__, itertools.chain(seen, bins)), np.int32, len(seen) + len(bins))
     value = np.full(len(index), 0.3 / max(1, len(seen)) ** 0.5, np.float32)
@@ -185,17 +209,20 @@ def probabilities(f: dict | None, weights: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def derive_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_rows: int = 20_000, support: int = 5, precision: float = 0.99) -> frozenset:
+def derive_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_rows: int = 20_000, chance: float = 1.0, precision: float = 0.99) -> frozenset:
     """Words, and stems of STEM letters, that mark labelled toxic documents.
 
-    label_rows bounds the sample of labelled documents (drawn by a hash of the id). A stem needs twice the support. A word counts once per family of
-    toxic documents that share their smallest hash of three words, so that copies of one text don't make its words look toxic.
+    label_rows bounds the sample of labels (rows alike once). An entry is taken if toxic documents have it, hardly any other does, and among all entries looked at no more
+    than ``chance`` are to be expected that have as many toxic documents by luck. A word counts once per family of toxic documents that share
+    their smallest hash of three words, so that copies of one text don't make its words look toxic.
     """
-    labels = labels.select(F.col("doc_id"), F.col("toxic")).filter("doc_id is not null and toxic is not null")
+    labels = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic is not null")
     total, toxic = labels.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     if not toxic:
         return frozenset()
-    drawn = dict(map(tuple, labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_003)) < int(1_000_003 * min(1, label_rows / total)) + 1).collect()))
+    drawn: dict = {}
+    for i, y in common.drawn(labels, label_rows, total, 2).collect():
+        drawn[i] = max(y, drawn.get(i, 0))
     known = docs.sparkSession.sparkContext.broadcast(drawn)  # label_rows entries
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,14 +237,17 @@ def derive_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], ["toxic", "family", "seen"])
 
     def tally(table: pa.Table) -> pa.Table:
-        found = [Counter(), Counter()]
+        found, size = [Counter(), Counter()], [0, 0]
         once = set()
         for y, family, seen in zip(*(table.column(k).to_pylist() for k in ("toxic", "family", "seen"))):
             if not y or family not in once:
                 once |= {family} if y else set()
+                size[bool(y)] += 1
                 found[bool(y)].update(seen.split(" "))
-        rows = [(w, c, found[0][w]) for w, c in found[1].items() if c >= support * (1 + w.endswith("*")) and c / (c + found[0][w]) >= precision]
-        return pa.table({"word": pa.array([x[0] for x in rows], pa.string())})
+        # all of c documents toxic by luck, for one of the entries at least: entries * share ** c
+        least = math.log(max(1, len(found[1])) / chance) / -math.log(max(size[1], 1) / (sum(size) + 1))
+        rows = [w for w, c in found[1].items() if c >= least and c / (c + found[0][w]) >= precision and w not in LEXICON]
+        return pa.table({"word": pa.array(rows, pa.string())})
 
     # one group: a sample of label_rows documents
     rows = docs.select(id_col, text_col).mapInArrow(take, "toxic int, family long, seen string").groupBy().applyInArrow(tally, "word string").collect()
@@ -225,8 +255,8 @@ def derive_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", train_rows: int = 5000) -> tuple[np.ndarray, frozenset]:
-    """(weights of the scorer, lexicon). train_rows bounds the sample it is fitted on (drawn by a hash of the id); all documents' votes are counted."""
-    lexicon = LEXICON | derive_lexicon(docs, labels, text_col, id_col) if labels is not None else LEXICON
+    """(weights of the scorer, the learned list). train_rows bounds the sample it is fitted on (rows alike once); all documents' votes are counted."""
+    lexicon = derive_lexicon(docs, labels, text_col, id_col) if labels is not None else frozenset()
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,8 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text"
             out = [(votes(f), *(x.tobytes() for x in hashed(f))) for f in (features(t, lexicon) for t in b.column(0).to_pylist()) if f]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string())] + [pa.array([x[k] for x in out], pa.binary()) for k in (1, 2)], ["pattern", "at", "weight"])
 
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(1_000_003)) < int(1_000_003 * min(1, train_rows / total)) + 1
-    rows = docs.filter(draw).select(text_col).mapInArrow(sample, "pattern string, at binary, weight binary").collect()
+    rows = common.drawn(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text <> ''"), train_rows, total, 1).select("text").mapInArrow(sample, "pattern string, at binary, weight binary").collect()
     rows = sorted((r for r in rows if r.pattern in label), key=lambda r: (r.pattern, r.at))
     return train([(np.frombuffer(r.at, np.int32), np.frombuffer(r.weight, np.float32)) for r in rows], np.array([label[r.pattern] for r in rows]).reshape(-1, 3)), lexicon
 

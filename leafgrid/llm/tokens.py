@@ -14,7 +14,7 @@ No piece crosses the border between a word and the white space after it (checked
 texts are searched whole), nor a character that occurs in no longer piece. So a text's count is the sum over its segments,
 whose counts stay in a bounded memo per worker.
 
-Defined cases: null and empty texts have 0 tokens; a null doc_id is passed through; repeated rows are counted each; an empty table gives no rows;
+Defined cases: null and empty texts have 0 tokens; a text of any length is counted whole; a null doc_id is passed through, ids may be of any type; repeated rows are counted each; an empty table gives no rows;
 other columns aren't read.
 """
 

@@ -3,8 +3,8 @@
 The model is trained on a small labelled table of URLs (column url, column unwanted 0/1; LABELLED by default, at most ``train_rows`` of them) and
 scores every URL of the table it is applied to, on the executors. Only the URL column is read.
 
-Defined cases: a null URL, and one without a host, get a null score and are kept; case, port, scheme, user and fragment don't
-count; repeated rows are scored alike; an empty table gives no rows; an empty training table gives score 0.5 and keeps all;
+Defined cases: a null URL, and one without a host, get a null score and are kept; a score equal to the threshold isn't kept; case, port, scheme, user and fragment don't
+count; a URL of any length is read whole, each n-gram of it once; page_ids may be of any type, null or repeated; repeated rows are scored alike; an empty table gives no rows; an empty training table gives score 0.5 and keeps all;
 other columns aren't read.
 """
 
@@ -31,6 +31,11 @@ _PATHS = {
     1: "/free-spins-bonus?aff=91 /xxx/teen-video-7.html /buy-viagra-no-prescription /login.php?redirect=win /click?ad=728x90&cid=4 /porn/gallery/12 /torrent/full-movie-hd /casino/slots/play-now /serial-keygen-crack.exe /banner/pop.js?zone=3 /hot-singles-near-you /earn-money-fast".split(),
     0: "/en/825?page=2&ref=x /fr/25#top /news/2021/05/story.html /article/12345 /wiki/History_of_printing /de/770/ /blog/2019/travel-to-lisbon /es/853?utm_source=feed /docs/guide/chapter-3.html /recipes/apple-pie /about /research/papers/17.pdf / /archive/1998/12 /en/960 /questions/441/how-to-prune-roses".split(),
 }
+#: Well-known sites of both kinds.
+_SITES = {
+    1: "pornhub.com xvideos.com xhamster.com redtube.com youporn.com xnxx.com spankbang.com chaturbate.com stripchat.com livejasmin.com brazzers.com bet365.com betway.com betfair.com 1xbet.com bwin.com unibet.com pokerstars.com 888casino.com 888poker.com stake.com partypoker.com ladbrokes.com paddypower.com draftkings.com thepiratebay.org 1337x.to rarbg.to limetorrents.lol torrentz2.nz kickasstorrents.to doubleclick.net adnxs.com popads.net propellerads.com adsterra.com clickadu.com exoclick.com trafficjunky.com juicyads.com canadianpharmacy.com malware-site.tk phishing-login.ml free-download-crack.tk".split(),
+    0: "wikipedia.org youtube.com github.com nytimes.com bbc.co.uk stackoverflow.com theguardian.com lemonde.fr spiegel.de elpais.com nature.com arxiv.org mit.edu stanford.edu nasa.gov nih.gov who.int europa.eu archive.org gutenberg.org medium.com reddit.com quora.com imdb.com goodreads.com britannica.com nationalgeographic.com weather.com espn.com allrecipes.com bonappetit.com etsy.com ikea.com booking.com tripadvisor.com linkedin.com mozilla.org python.org apache.org debian.org kernel.org w3.org ietf.org".split(),
+}
 #: Words of host names: unwanted ones, and ordinary ones that stand beside either kind, so that the unwanted word decides.
 _WORDS = {
     1: "casino bet bets betting gambling slots poker jackpot viagra cialis pills meds adult xxx porn sex sexcams escorts ads adserver banner popads clicks tracker warez torrent keygen crack pirate payday replica doubler spam phishing malware".split(),
@@ -53,6 +58,7 @@ def _labelled() -> list[tuple[str, int]]:
                 for suffix in (_SUFFIXES[k % 6], _SUFFIXES[(k + 2) % 6]):
                     out.append((f"https://{_PREFIXES[k // 2 % 4]}{name}.{suffix}{_PATHS[0][k % len(_PATHS[0])]}", y))
                     k += 1
+    out += [(f"https://{'www.' if k % 2 else ''}{h}{p}", y) for y in (0, 1) for k, h in enumerate(_SITES[y]) for p in _PATHS[0][k % 4 :: 4] + _PATHS[y][k % 3 :: 4]]
     rng = np.random.default_rng(0)
     chance = lambda: "".join(rng.choice(list("aaabcdeeeefghhiiijklmnnnooopqrrrssstttuvwxyz"), int(rng.integers(2, 9)))) + str(rng.choice(["", "", "ing", "er", "ed", "tion", "es"]))
     names = [(f"{word}-{chance()}" if j % 2 else f"{chance()}-{word}", y) for y in (0, 1) for word in _WORDS[y] for j in range(20)]

@@ -1,8 +1,7 @@
 """Column detection and reading order.
 
 A page's items are divided at the widest band of vertical positions that hardly any item crosses, twice at most; the resulting
-groups are put in reading order. ``gutters`` is the search as a relational query over all pages at once; ``reading_order`` is
-the whole recursion, on numpy arrays of one row per page.
+groups are put in reading order. ``gutters`` is the search alone, ``reading_order`` the whole recursion, both on numpy arrays of one row per page.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAGE = ["doc_id", "page_no"]
@@ -30,20 +29,21 @@ def positions(start: float, end: float) -> list[float]:
 
 def gutters(items: DataFrame) -> DataFrame:
     """(doc_id, page_no, start, end): the widest band of valid positions over the whole page width, the leftmost of equals."""
-    session = items.sparkSession
-    xs = session.createDataFrame(list(enumerate(positions(0.0, 1.0))), "step int, gx double")
-    narrow = F.col("w") <= WIDE
-    crosses, left = (F.col("x") < F.col("gx")) & (F.col("x") + F.col("w") > F.col("gx")), F.col("x") + F.col("w") / 2 < F.col("gx")
-    counts = items.join(F.broadcast(xs)).groupBy(*PAGE, "step", "gx").agg(  # 81 positions
-        F.count("*").alias("n"), F.count_if(crosses).alias("crossing"), F.count_if(narrow).alias("narrow"), F.count_if(narrow & crosses).alias("nc"), F.count_if(narrow & ~crosses & left).alias("nl"), F.count_if(narrow & ~crosses & ~left).alias("nr")
-    )
-    least = F.greatest(F.lit(NARROW_LEAST), F.floor(F.col("narrow") * NARROW_SHARE))
-    sides = F.col("nl") + F.col("nr")
-    valid = (F.col("n") >= MIN_ITEMS) & (F.col("narrow") >= MIN_ITEMS) & (F.col("crossing") <= F.col("n") * CROSSING_SHARE) & (F.col("nc") <= least) & (F.least("nl", "nr") >= SIDE_ITEMS) & (F.least("nl", "nr") >= sides * SIDE_SHARE)
-    island = F.col("step") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("step"))
-    bands = counts.filter(valid).withColumn("island", island).groupBy(*PAGE, "island").agg(F.min("gx").alias("start"), F.max("gx").alias("end"))
-    best = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc(F.col("end") - F.col("start")), "start"))
-    return bands.withColumn("r", best).filter("r = 1").select(*PAGE, "start", "end")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, found = b.column(2), []
+            at = lists.offsets.to_numpy()
+            x, w = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "w"))
+            for s, e in zip(at[:-1], at[1:]):
+                narrow = w[s:e] <= WIDE
+                found.append(widest(x[s:e], w[s:e], narrow, 0.0, 1.0) if min(e - s, narrow.sum()) >= MIN_ITEMS else None)
+            band = [pa.array([f and float(f[k]) for f in found], pa.float64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *band], ["doc_id", "page_no", "start", "end"])
+
+    packed = items.groupBy(*PAGE).agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("w").cast("double").alias("w"))).alias("items"))
+    kinds = [f"{c} {packed.schema[c].dataType.simpleString()}" for c in PAGE]
+    return packed.mapInArrow(search, ", ".join([*kinds, "start double", "end double"])).filter("start is not null")
 
 
 def widest(x: np.ndarray, w: np.ndarray, narrow: np.ndarray, start: float, end: float) -> tuple[float, float] | None:

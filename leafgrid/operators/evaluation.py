@@ -35,6 +35,12 @@ def document_evaluation(pages: DataFrame, per_page: DataFrame) -> DataFrame:
     return sums.withColumn("coverage", coverage()).withColumn("figure_rate", rate)
 
 
+def page_confidence(found: DataFrame) -> DataFrame:
+    """(doc_id, page_no, confidence): the mean over the lines that have character scores of their means, 0 for none. found: (doc_id, page_no, scores)."""
+    mean = F.when(F.size("scores") > 0, F.aggregate("scores", F.lit(0.0), lambda a, s: a + s) / F.size("scores"))
+    return found.select("doc_id", "page_no", mean.alias("m")).groupBy("doc_id", "page_no").agg(F.coalesce(F.avg("m"), F.lit(0.0)).alias("confidence"))
+
+
 def type_histogram(blocks: DataFrame) -> DataFrame:
     """Per page the number of blocks of each type, by the types' own order."""
     n = blocks.groupBy("doc_id", "page_no", "type").agg(F.count("*").alias("n"))

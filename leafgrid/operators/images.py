@@ -5,7 +5,10 @@ Pixels come from a decoder that the caller plugs in (see sources.decoders); ever
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,20 +112,20 @@ def skew(image: np.ndarray, limit: float = 10.0) -> float | None:
     return round(float(fine), 3)
 
 
-def figure_boxes(image: np.ndarray, text: list[tuple[float, float, float, float]], least: float = 0.015, most: float = 0.6) -> list[tuple[float, float, float, float]]:
-    """Connected areas of edges outside text, joined over 25 pixels, of a figure's size and shape."""
-    luma = grey(image).astype(float)
-    gy, gx = np.gradient(luma)
-    edge = np.hypot(gx, gy) > 60
-    high, wide = edge.shape
-    for x, y, w, h in text:
-        m = 0.04 * h
-        edge[max(0, int((y - m) * high)) : int((y + h + m) * high) + 1, max(0, int(x * wide)) : int((x + w) * wide) + 1] = False
-    for axis in (0, 1):  # dilation by a box
-        total = np.cumsum(np.pad(edge.astype(np.int32), [(13, 12) if a == axis else (0, 0) for a in (0, 1)]), axis)
-        edge = np.take(total, np.arange(24, 24 + edge.shape[axis]), axis) - np.pad(total, [(1, 0) if a == axis else (0, 0) for a in (0, 1)]).take(np.arange(edge.shape[axis]), axis) > 0
-    label = np.where(edge, np.arange(1, edge.size + 1).reshape(edge.shape), 0)
-    while True:  # the largest number spreads along rows and columns
+def edges(luma: np.ndarray, low: float = 60, high: float = 160) -> np.ndarray:
+    """Steep places: Sobel gradients beyond the upper threshold, and those beyond the lower one that hang together with such."""
+    p = np.pad(luma.astype(np.int32), 1, mode="edge")
+    gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
+    gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
+    steep = np.abs(gx) + np.abs(gy)
+    label = labelled(steep > low)
+    return np.isin(label, np.unique(label[steep > high])) & (label > 0)
+
+
+def labelled(mask: np.ndarray) -> np.ndarray:
+    """A number for each connected area (neighbours by side), 0 outside: the largest place in it, which spreads along rows and columns."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    while True:
         new = label
         for axis in (0, 1):
             for flip in (False, True):
@@ -130,8 +133,47 @@ def figure_boxes(image: np.ndarray, text: list[tuple[float, float, float, float]
                 run = _spread(v, axis)
                 new = np.flip(run, axis) if flip else run
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+def frame_boxes(image: np.ndarray, least: float = 0.02, most: float = 0.7, fill: float = 0.9, hole: float = 0.6) -> list[tuple[float, float, float, float]]:
+    """Thin rectangles of ink around a large hollow, of a box's size: with what they enclose they fill their extent, and the largest hollow most of that."""
+    luma = grey(image)
+    ink = luma <= otsu(luma)
+    high, wide = ink.shape
+    ground = labelled(~ink)
+    border = np.unique(np.concatenate([ground[0], ground[-1], ground[:, 0], ground[:, -1]]))
+    ink_label = labelled(ink)
+    out = []
+    for k in np.unique(ink_label[ink_label > 0]):
+        ys, xs = np.nonzero(ink_label == k)
+        top, left, h, w = ys.min(), xs.min(), int(np.ptp(ys)) + 1, int(np.ptp(xs)) + 1
+        if not least <= h * w / (high * wide) <= most:
+            continue
+        inside = ground[top : top + h, left : left + w]
+        holes = {int(g): int((inside == g).sum()) for g in np.unique(inside[inside > 0]) if g not in border}
+        own = int((ink_label[top : top + h, left : left + w] == k).sum())
+        if holes and own + sum(holes.values()) >= fill * h * w and max(holes.values()) >= hole * (own + sum(holes.values())):
+            out.append((float(left / wide), float(top / high), float(w / wide), float(h / high)))
+    return sorted(out, key=lambda b: (b[1], b[0]))
+
+
+def figure_boxes(image: np.ndarray, text: list[tuple[float, float, float, float]], least: float = 0.015, most: float = 0.6, margin: float = 0.04) -> list[tuple[float, float, float, float]]:
+    """Connected areas of edges outside text and the page's margin, joined over 25 pixels, of a figure's size and shape."""
+    edge = edges(grey(image))
+    high, wide = edge.shape
+    my, mx = int(high * margin), int(wide * margin)
+    inner = np.zeros_like(edge)
+    inner[my : high - my, mx : wide - mx] = True
+    edge &= inner
+    for x, y, w, h in text:
+        m = 0.04 * h
+        edge[max(0, int((y - m) * high)) : int((y + h + m) * high) + 1, max(0, int(x * wide)) : int((x + w) * wide) + 1] = False
+    for axis in (0, 1):  # dilation by a box
+        total = np.cumsum(np.pad(edge.astype(np.int32), [(13, 12) if a == axis else (0, 0) for a in (0, 1)]), axis)
+        edge = np.take(total, np.arange(24, 24 + edge.shape[axis]), axis) - np.pad(total, [(1, 0) if a == axis else (0, 0) for a in (0, 1)]).take(np.arange(edge.shape[axis]), axis) > 0
+    label = labelled(edge)
     out = []
     for k in np.unique(label[label > 0]):
         ys, xs = np.nonzero(label == k)
@@ -150,6 +192,87 @@ def _spread(v: np.ndarray, axis: int) -> np.ndarray:
     return out if axis == 1 else out.T
 
 
+IMAGE = ["doc_id", "page_no", "width", "height", "pixels"]
+
+
+def _each_image(images: DataFrame, work: Callable, schema: str, *more: str) -> DataFrame:
+    """work(array, further columns' values) gives rows for each image; (doc_id, page_no) and the rows' columns come back. A page is the unit of work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place, rows = [], []
+            columns = [b.column(k) for k in range(b.num_columns)]
+            for k in range(b.num_rows):
+                width, height, pixels, *rest = (c[k].as_py() for c in columns[2:])
+                made = work(np.frombuffer(pixels, np.uint8).reshape(height, width, 3), *rest)
+                place += [k] * len(made)
+                rows += made
+            at = pa.array(place, pa.int64())
+            made = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(target)]
+            yield pa.RecordBatch.from_arrays([columns[0].take(at), columns[1].take(at), *made], ["doc_id", "page_no", *(f.name for f in target)])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromDDL(schema)
+    target = list(to_arrow_schema(kind))
+    keys = StructType([images.schema["doc_id"], images.schema["page_no"]])
+    return images.filter("pixels is not null").select(*IMAGE, *more).mapInArrow(run, StructType(keys.fields + kind.fields))
+
+
+def page_paper_stats(images: DataFrame) -> DataFrame:
+    """(doc_id, page_no, luminance, share, b, g, r) of each image (doc_id, page_no, width, height, pixels)."""
+    return _each_image(images, lambda a: [paper_stats(a)], "luminance double, share double, b double, g double, r double")
+
+
+def page_skew(images: DataFrame) -> DataFrame:
+    """(doc_id, page_no, angle), null where a page is taken as it is."""
+    return _each_image(images, lambda a: [(skew(a),)], "angle double")
+
+
+def enhanced(images: DataFrame, profile: DataFrame) -> DataFrame:
+    """The images with the paper of their document (doc_id, b, g, r) made white; those of documents without a profile stay."""
+    j = images.join(profile.select("doc_id", F.array("b", "g", "r").alias("paper")), "doc_id", "left")
+    return _each_image(j, lambda a, paper: [(a.shape[1], a.shape[0], enhance(a, paper and tuple(paper)).tobytes())], "width int, height int, pixels binary", "paper")
+
+
+def straightened(images: DataFrame) -> DataFrame:
+    """The images turned level, with the angle (0 where they were)."""
+
+    def turn(a: np.ndarray) -> list[tuple]:
+        angle = skew(a)
+        return [(a.shape[1], a.shape[0], (a if angle is None else rotated(a, angle)).tobytes(), angle or 0.0)]
+
+    return _each_image(images, turn, "width int, height int, pixels binary, angle double")
+
+
+def _with_boxes(images: DataFrame, lines: DataFrame) -> DataFrame:
+    boxes = lines.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", *[F.col(c).cast("double").alias(c) for c in "xywh"]))).alias("boxes"))
+    return images.join(boxes, ["doc_id", "page_no"], "left")
+
+
+def line_ink(images: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, page_no, line_no, ink) of the lines whose page has an image."""
+
+    def measure(a: np.ndarray, boxes: list[dict] | None) -> list[tuple]:
+        boxes = boxes or []
+        return [(b["line_no"], d) for b, d in zip(boxes, ink_density(a, [tuple(b[c] for c in "xywh") for b in boxes]))]
+
+    return _each_image(_with_boxes(images, lines), measure, "line_no int, ink double", "boxes")
+
+
+def page_regions(images: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, page_no, region_no, x, y, w, h, kind): figures, and frames that no figure covers (see layout.free_boxes for tables of them)."""
+    share = lambda p, q: max(0.0, min(p[0] + p[2], q[0] + q[2]) - max(p[0], q[0])) * max(0.0, min(p[1] + p[3], q[1] + q[3]) - max(p[1], q[1])) / max(min(p[2] * p[3], q[2] * q[3]), 1e-12)
+
+    def find(a: np.ndarray, boxes: list[dict] | None) -> list[tuple]:
+        figures = figure_boxes(a, [tuple(b[c] for c in "xywh") for b in boxes or []])
+        frames = [f for f in frame_boxes(a) if not any(share(f, g) > 0.5 for g in figures)]
+        return [(k, *box, kind) for k, (box, kind) in enumerate([(b, "Figure") for b in figures] + [(b, "Boxed") for b in frames], 1)]
+
+    return _each_image(_with_boxes(images, lines), find, "region_no int, x double, y double, w double, h double, kind string", "boxes")
+
+
 def transcode_rule(images: DataFrame, longest: int | None = 2200, png_limit: int = 200 * 1024) -> DataFrame:
     """images (path, width, height, bytes) with media_type, transcode, target_width, target_height; an unknown extension is an error row."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
@@ -163,6 +286,49 @@ def transcode_rule(images: DataFrame, longest: int | None = 2200, png_limit: int
     )
 
 
+def transcoded(contents: DataFrame, rules: DataFrame, encoder: Callable[[bytes, int, int, int], bytes] | None, quality: int = 85) -> DataFrame:
+    """(path, content): images (path, content) as their rule says, by an encoder of (content, width, height, quality); without one all stay as they are."""
+    if encoder is None:
+        return contents.select("path", "content")
+    quality = min(100, max(1, quality))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [encoder(c, w, h, quality) if t else c for c, t, w, h in zip(*(b.column(k).to_pylist() for k in range(1, 5)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["path", "content"])
+
+    j = contents.join(rules.filter("error is null"), "path").select("path", "content", "transcode", "target_width", "target_height")
+    return j.mapInArrow(run, "path string, content binary")
+
+
+def figure_images(images: DataFrame, blocks: DataFrame, encoder: Callable[[np.ndarray, int], bytes], quality: int = 90) -> DataFrame:
+    """(doc_id, page_no, block_id, content): each figure cut out of its page's image, by an encoder of (pixels, quality)."""
+    figures = blocks.filter("type = 'Figure'").groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("block_id", *[F.col(c).cast("double").alias(c) for c in "xywh"]))).alias("figures"))
+    cut = lambda a, found: [(f["block_id"], encoder(crop(a, tuple(f[c] for c in "xywh")), quality)) for f in found]
+    return _each_image(images.join(figures, ["doc_id", "page_no"]), cut, "block_id string, content binary", "figures")
+
+
+def overlays(images: DataFrame, blocks: DataFrame, most: int = 1200) -> DataFrame:
+    """The images, no wider than that, with their blocks' frames drawn: in the colour of the type, thin where a block is excluded."""
+    kinds = F.array_sort(F.collect_list(F.struct("reading_order", "type", "is_excluded", *[F.col(c).cast("double").alias(c) for c in "xywh"])))
+    drawn = blocks.groupBy("doc_id", "page_no").agg(kinds.alias("blocks"))
+
+    def draw(a: np.ndarray, found: list[dict] | None) -> list[tuple]:
+        wide = min(most, a.shape[1])
+        high = max(1, round(a.shape[0] * wide / a.shape[1]))
+        out = a[np.arange(high) * a.shape[0] // high][:, np.arange(wide) * a.shape[1] // wide].copy()
+        for b in found or []:
+            x, y = min(max(0, int(b["x"] * wide)), wide - 1), min(max(0, int(b["y"] * high)), high - 1)
+            w, h, t = min(max(1, int(b["w"] * wide)), wide - x), min(max(1, int(b["h"] * high)), high - y), 1 if b["is_excluded"] else 3
+            c = COLOURS.get(b["type"], "#757575")
+            shade = [int(c[k : k + 2], 16) for k in (5, 3, 1)]  # blue, green, red
+            for part in (out[y : y + min(t, h), x : x + w], out[y + h - min(t, h) : y + h, x : x + w], out[y : y + h, x : x + min(t, w)], out[y : y + h, x + w - min(t, w) : x + w]):
+                part[:] = shade
+        return [(wide, high, out.tobytes())]
+
+    return _each_image(images.join(drawn, ["doc_id", "page_no"], "left"), draw, "width int, height int, pixels binary", "blocks")
+
+
 def colour(kind: Column) -> Column:
     """The overlay colour of a type."""
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv]), kind), F.lit("#757575"))

@@ -77,7 +77,7 @@ def block_type() -> Column:
     title = (y < 0.4) & (F.length(core) >= 3) & core.rlike(r"^[\p{L}\p{Nd}]") & ~core.rlike(r"^[\p{Nd}]*$")
     bold = short & (F.length(core) >= 4) & F.col("ink").isNotNull() & F.col("body_ink").isNotNull() & (F.col("ink") >= 1.4 * F.col("body_ink")) & (F.col("ink") < 3 * F.col("body_ink"))
     return (
-        F.when((y + h > 0.94) & short & core.rlike(r"^[\p{Nd}]+$"), "PageNumber").when((y < 0.06) & short, "Header").when((y + h > 0.94) & short, "Footer")
+        F.when((y + h > 0.94) & short & text.rlike(r"^\p{Nd}*\z"), "PageNumber").when((y < 0.06) & short, "Header").when((y + h > 0.94) & short, "Footer")
         .when((ratio >= 1.8) & title, "ChapterTitle").when(ratio >= 1.8, "Decorative").when(ratio >= 1.35, "SectionHeading").when(ratio >= 1.15, "Subheading").when(bold, "Subheading").otherwise("Body")
     )
 

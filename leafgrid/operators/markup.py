@@ -47,10 +47,10 @@ def chapter_documents(chapters: DataFrame, made: DataFrame, language: str = "en"
     return body.select("doc_id", "chapter_no", F.format_string("chapters/chapter-%03d.xhtml", "chapter_no").alias("path"), page(F.col("title"), F.concat(head, F.lit("\n"), F.col("body")), language).alias("content"))
 
 
-def page(title: Column, body: Column, language: str | Column, head: Column | None = None) -> Column:
+def page(title: Column, body: Column, language: str | Column, head: Column | None = None, kind: str = "") -> Column:
     lang = F.lit(language) if isinstance(language, str) else language
     return F.concat(
-        F.lit('<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="'), lang, F.lit('"><head><title>'), t.escaped(title), F.lit("</title>"), head if head is not None else F.lit(""), F.lit("</head><body>"), body, F.lit("</body></html>")
+        F.lit('<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="'), lang, F.lit('"><head><title>'), t.escaped(title), F.lit("</title>"), head if head is not None else F.lit(""), F.lit(f'</head><body class="{kind}">' if kind else "</head><body>"), body, F.lit("</body></html>")
     )
 
 
@@ -100,8 +100,8 @@ def manifest(projects: DataFrame, files: DataFrame, fixed: bool = False, modifie
     ).alias("content"))
 
 
-def navigation(chapters: DataFrame, blocks: DataFrame, language: str = "en", cover: bool = False) -> DataFrame:
-    """(doc_id, content): chapters, and in each the section headings that have text (no lower ones); the cover first."""
+def navigation(chapters: DataFrame, blocks: DataFrame, language: str = "en", covered: DataFrame | None = None) -> DataFrame:
+    """(doc_id, content): chapters, and in each the section headings that have text (no lower ones); the cover first for the documents of covered."""
     listed = chapters.select("doc_id", "chapter_no", "title", F.posexplode_outer("block_ids").alias("pos", "block_id"))
     text = t.effective(F.col("corrected_text"), F.col("ocr_text"))
     sections = blocks.filter((F.col("type") == "SectionHeading") & ~t.is_blank(text)).select("doc_id", "block_id", text.alias("section"))
@@ -111,7 +111,10 @@ def navigation(chapters: DataFrame, blocks: DataFrame, language: str = "en", cov
     inner = F.when(F.length("subs") > 0, F.concat(F.lit("<ol>"), F.col("subs"), F.lit("</ol>"))).otherwise("")
     li = F.concat(F.lit('<li><a href="'), href, F.lit('">'), t.escaped(F.col("title")), F.lit("</a>"), inner, F.lit("</li>"))
     listing = per.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_no", li.alias("li")))), lambda s: s["li"]), "").alias("lis"))
-    first = F.lit('<li><a href="cover.xhtml">Cover</a></li>' if cover else "")
+    first = F.lit("")
+    if covered is not None:
+        listing = listing.join(covered.select("doc_id", F.lit(True).alias("_covered")), "doc_id", "left")
+        first = F.when(F.col("_covered"), '<li><a href="cover.xhtml">Cover</a></li>').otherwise("")
     return listing.select("doc_id", page(F.lit("Contents"), F.concat(F.lit('<nav epub:type="toc" xmlns:epub="http://www.idpf.org/2007/ops"><ol>'), first, F.col("lis"), F.lit("</ol></nav>")), language).alias("content"))
 
 

@@ -36,17 +36,17 @@ def fallback_blocks(quality: DataFrame, raw: DataFrame, blocks: DataFrame) -> Da
     )
 
 
-def page_status(pages: DataFrame, failures: DataFrame) -> DataFrame:
-    """pages with status: Error where a failure (doc_id, page_no) is recorded, else OcrCompleted."""
-    f = failures.select(*PAGE).distinct().withColumn("failed", F.lit(True))
-    return pages.join(f, PAGE, "left").withColumn("status", F.when(F.col("failed"), "Error").otherwise("OcrCompleted")).drop("failed")
+def page_status(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """pages with status: OcrCompleted where there is a block, else Error."""
+    done = blocks.select(*PAGE).distinct().withColumn("done", F.lit(True))
+    return pages.join(done, PAGE, "left").withColumn("status", F.when(F.col("done"), "OcrCompleted").otherwise("Error")).drop("done")
 
 
 def source_counts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Per document: pages with any block of a text layer, with any recognised one, with none but unknown ones (true for none at all), and blocks to review."""
-    per = blocks.groupBy(*PAGE).agg(F.bool_or(F.col("source") == "PdfTextLayer").alias("pdf"), F.bool_or(F.col("source") == "Ocr").alias("ocr"), F.bool_and(F.col("source") == "Unknown").alias("unknown"), F.count_if("requires_review").alias("review"))
+    """Per document: pages with any block of a text layer, with any recognised one, with none but unknown ones (true for none at all), blocks to review and blocks edited by hand."""
+    per = blocks.groupBy(*PAGE).agg(F.bool_or(F.col("source") == "PdfTextLayer").alias("pdf"), F.bool_or(F.col("source") == "Ocr").alias("ocr"), F.bool_and(F.col("source") == "Unknown").alias("unknown"), F.count_if("requires_review").alias("review"), F.count_if("is_edited").alias("edited"))
     j = pages.select(*PAGE).join(per, PAGE, "left")
-    return j.groupBy("doc_id").agg(F.count_if(F.coalesce("pdf", F.lit(False))).alias("pdf_pages"), F.count_if(F.coalesce("ocr", F.lit(False))).alias("ocr_pages"), F.count_if(F.coalesce("unknown", F.lit(True))).alias("unknown_pages"), F.coalesce(F.sum("review"), F.lit(0)).alias("review_blocks"))
+    return j.groupBy("doc_id").agg(F.count_if(F.coalesce("pdf", F.lit(False))).alias("pdf_pages"), F.count_if(F.coalesce("ocr", F.lit(False))).alias("ocr_pages"), F.count_if(F.coalesce("unknown", F.lit(True))).alias("unknown_pages"), F.coalesce(F.sum("review"), F.lit(0)).alias("review_blocks"), F.coalesce(F.sum("edited"), F.lit(0)).alias("edited_blocks"))
 
 
 def without_cover(pages: DataFrame, cover: bool = True) -> DataFrame:

@@ -20,14 +20,15 @@ def paragraph_ids(blocks: DataFrame) -> DataFrame:
     beside = F.least(F.col("x") + F.col("w"), p["x"] + p["w"]) - F.greatest("x", p["x"])
     joins = (
         F.col("type").isin("Body", "Aside") & (F.col("type") == p["type"]) & F.col("source").eqNullSafe(p["source"]) & ~F.col("is_excluded") & ~p["is_excluded"] & ~F.col("is_edited") & ~p["is_edited"]
-        & (low > 0) & (beside / F.least("w", p["w"]) >= 0.5) & (F.greatest("h", p["h"]) / low <= 1.4) & (gap >= -0.5 * low) & (gap <= 0.8 * low) & (F.col("x") - p["x"] <= 0.9 * F.col("h"))
+        & (low > 0) & (F.try_divide(beside, F.least("w", p["w"])) >= 0.5) & (F.greatest("h", p["h"]) / low <= 1.4) & (gap >= -0.5 * low) & (gap <= 0.8 * low) & (F.col("x") - p["x"] <= 0.9 * F.col("h"))
     )
     starts = F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)
     return blocks.withColumn("starts", starts).withColumn("para", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
 
 
 def merge(blocks: DataFrame) -> DataFrame:
-    """One row per paragraph: texts joined, boxes united, the lowest confidence; block ids stay those of first lines, orders are renumbered."""
+    """One row per paragraph: initials set before their lines, texts joined, boxes united, the lowest confidence; block ids stay those of first lines, orders are renumbered."""
+    blocks = with_drop_caps(blocks)
     rows = F.array_sort(F.collect_list(F.struct("reading_order", "ocr_text")))
     first = lambda c: F.min_by(c, "reading_order").alias(c)
     more = [first(c) for c in ("related_block_id", "corrected_text", "image_path") if c in blocks.columns]
@@ -39,26 +40,43 @@ def merge(blocks: DataFrame) -> DataFrame:
     return out.withColumn("reading_order", order).withColumn("w", F.col("right") - F.col("x")).withColumn("h", F.col("bottom") - F.col("y")).drop("para", "right", "bottom")
 
 
-def drop_caps(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page_no, cap_id, target_id, text): large initials and the topmost line beside each that starts no further left.
-
-    Initials choose in order of reading; where two want one line, the first has it and the other takes its next best. The
-    choice is made among the initials' ranked lines only.
-    """
+def _chosen(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_no, done): for the pages that have some, the initials and their lines."""
     n = F.length(t.trimmed(F.coalesce("ocr_text", F.lit(""))))
-    usual = blocks.filter(n > 2).groupBy(*PAGE).agg(g.upper_median("h").alias("usual_h"))
+    usual = blocks.filter((n > 2) & (F.col("h") > 0)).groupBy(*PAGE).agg(g.upper_median("h").alias("usual_h"))
     caps = blocks.filter((n >= 1) & (n <= 2) & ~F.col("is_excluded")).join(usual, PAGE).filter(F.col("h") >= 1.5 * F.col("usual_h"))
-    caps = caps.select(*PAGE, F.col("block_id").alias("cap_id"), F.col("reading_order").alias("cap_order"), *[F.col(c).alias(f"c{c}") for c in "xyh"], F.col("ocr_text").alias("cap_text"))
-    lines = blocks.filter((n > 2) & ~F.col("is_excluded")).select(*PAGE, F.col("block_id").alias("target_id"), "x", "y", "h", "reading_order", "ocr_text")
+    caps = caps.select(*PAGE, F.col("block_id").alias("cap_id"), F.col("reading_order").alias("cap_order"), *[F.col(c).alias(f"c{c}") for c in "xyh"], t.trimmed(F.col("ocr_text")).alias("cap_text"), F.col("conf").alias("cap_conf"), F.col("requires_review").alias("cap_review"))
+    lines = blocks.filter((n > 2) & ~F.col("is_excluded")).select(*PAGE, F.col("block_id").alias("target_id"), "x", "y", "h", "reading_order", "ocr_text", "is_edited")
     beside = F.least(F.col("y") + F.col("h"), F.col("cy") + F.col("ch")) - F.greatest("y", "cy") > 0
     pairs = caps.join(lines, PAGE).filter(beside & (F.col("x") >= F.col("cx")))
-    ranked = pairs.groupBy(*PAGE, "cap_id", "cap_order", "cap_text").agg(F.array_sort(F.collect_list(F.struct("y", "reading_order", "target_id", "ocr_text"))).alias("wanted"))
-    page = ranked.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("cap_order", "cap_id", "cap_text", "wanted"))).alias("caps"))
-    empty = F.expr("cast(array() as array<struct<cap_id: string, target_id: string, text: string>>)")
+    ranked = pairs.groupBy(*PAGE, "cap_id", "cap_order", "cap_text", "cap_conf", "cap_review").agg(F.array_sort(F.collect_list(F.struct("y", "reading_order", "target_id", "ocr_text", "is_edited"))).alias("wanted"))
+    page = ranked.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("cap_order", "cap_id", "cap_text", "cap_conf", "cap_review", "wanted"))).alias("caps"))
+    empty = F.expr("cast(array() as array<struct<cap_id: string, target_id: string, text: string, cap: string, conf: double, review: boolean>>)")
 
     def choose(done, cap):
         left = F.filter(cap["wanted"], lambda x: ~F.exists(done, lambda d: d["target_id"] == x["target_id"]))
-        got = F.struct(cap["cap_id"].alias("cap_id"), left[0]["target_id"].alias("target_id"), F.concat(t.trimmed(cap["cap_text"]), left[0]["ocr_text"]).alias("text"))
-        return F.when(F.size(left) > 0, F.concat(done, F.array(got))).otherwise(done)
+        got = F.struct(cap["cap_id"].alias("cap_id"), left[0]["target_id"].alias("target_id"), F.concat(cap["cap_text"], left[0]["ocr_text"]).alias("text"), cap["cap_text"].alias("cap"), cap["cap_conf"].cast("double").alias("conf"), cap["cap_review"].alias("review"))
+        return F.when((F.size(left) > 0) & ~left[0]["is_edited"], F.concat(done, F.array(got))).otherwise(done)
+
+    return page.select(*PAGE, F.aggregate("caps", empty, choose).alias("done"))
+
+
+def drop_caps(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_no, cap_id, target_id, text): large initials and the topmost line beside each that starts no further left.
+
+    Initials choose in order of reading; where two want one line, the first has it and the other takes its next best. One whose
+    line was edited by hand stays alone. The choice is made among the initials' ranked lines only.
+    """
+    return _chosen(blocks).select(*PAGE, F.explode("done").alias("d")).select(*PAGE, "d.cap_id", "d.target_id", "d.text")
+
 
-    return page.select(*PAGE, F.explode(F.aggregate("caps", empty, choose)).alias("d")).select(*PAGE, "d.*")
+def with_drop_caps(blocks: DataFrame) -> DataFrame:
+    """blocks whose initials stand before the texts of their lines; an initial's box isn't taken over, or the heights of lines couldn't be compared any more."""
+    page = blocks.join(_chosen(blocks), PAGE, "left")
+    mine = F.filter("done", lambda d: d["target_id"] == F.col("block_id"))
+    gone = F.coalesce(F.exists("done", lambda d: d["cap_id"] == F.col("block_id")), F.lit(False))
+    kept = page.filter(~gone).withColumn("_cap", F.try_element_at(mine, F.lit(1)))
+    has = F.col("_cap").isNotNull()
+    return kept.select(
+        *[F.when(has, v).otherwise(F.col(c)).alias(c) if (v := {"ocr_text": F.col("_cap.text"), "conf": F.least("conf", "_cap.conf"), "requires_review": F.col("requires_review") | F.col("_cap.review")}.get(c)) is not None else F.col(c) for c in blocks.columns]
+    )

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import chapters, chars, edits, images, layout, markup, pages
+from ..operators import chapters, chars, edits, evaluation, images, layout, markup, pages
 from ..plans import convert
-from ..sources import projects
+from ..sources import decoders, projects
 from ..sources.tables import documents, lines_of
 from .layout_queries import BLOCKS, BOOKS, CHAPTERS, blocks_of, books
 from .line_queries import QUALITY, count_of, nonspace, sql
@@ -273,7 +273,7 @@ def log_tail(spark: SparkSession, d: str) -> DataFrame:
 
 def page_status(spark: SparkSession, d: str) -> DataFrame:
     p = documents(spark, d).select("doc_id", F.col("doc_id").cast("int").alias("page_no"))
-    return pages.page_status(p, p.filter(F.col("doc_id") % 50 == 7))
+    return pages.page_status(p, blocks_of(spark, d).filter(F.length("ocr_text") > 20))
 
 
 def without_cover(spark: SparkSession, d: str) -> DataFrame:
@@ -281,6 +281,44 @@ def without_cover(spark: SparkSession, d: str) -> DataFrame:
     return pages.without_cover(p)
 
 
+def text_images(spark: SparkSession, d: str) -> DataFrame:
+    """Each text's bytes as the grey pixels of an image of one row."""
+    import numpy as np
+
+    raw = documents(spark, d).select("doc_id", F.col("doc_id").cast("int").alias("page_no"), F.encode("text", "utf-8").alias("content"))
+    return decoders.decoded_images(raw, lambda c: np.repeat(np.frombuffer(c, np.uint8), 3).reshape(1, -1, 3))
+
+
+def image_paper_stats(spark: SparkSession, d: str) -> DataFrame:
+    stats = images.page_paper_stats(text_images(spark, d))
+    return stats.select(*PAGE, *[F.round(c, 6).alias(c) for c in ("luminance", "share", "b", "g", "r")])
+
+
+PAPER = """WITH v AS (SELECT doc_id, ('0x' || b)::INT AS v, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY v) AS upto, sum(n) OVER (PARTITION BY doc_id) AS total FROM v), l AS (SELECT doc_id, min(v) AS level FROM c WHERE upto / total >= 0.95 GROUP BY doc_id)
+SELECT doc_id, doc_id::INT AS page_no, level::DOUBLE AS luminance, round(sum(CASE WHEN v > level - 16 THEN n END) / max(total), 6) AS share, round(sum(CASE WHEN v > level - 16 THEN n * v END) / sum(CASE WHEN v > level - 16 THEN n END), 6) AS b, b AS g, b AS r FROM c JOIN l USING (doc_id) GROUP BY doc_id, level"""
+
+
+def page_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """As many scores a line as its length leaves over four, none for some lines."""
+    scores = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: k < F.length("text") % 4), lambda k: F.col("conf") - k / 100.0)
+    return evaluation.page_confidence(lines_of(documents(spark, d)).select(*PAGE, scores.alias("scores"))).withColumn("confidence", F.round("confidence", 9))
+
+
+CONFIDENCE = """SELECT doc_id, page_no, round(coalesce(avg(CASE n WHEN 1 THEN conf WHEN 2 THEN conf - 0.005::DOUBLE WHEN 3 THEN conf - 0.01::DOUBLE END), 0), 9) AS confidence FROM (SELECT *, length(text) % 4 AS n FROM v_lines) GROUP BY doc_id, page_no"""
+
+
+def upside_down_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A line says so where its text has an odd number of characters; empty lines don't vote."""
+    return decoders.upside_down(lines_of(documents(spark, d)).select(*PAGE, F.when(F.length("text") > 0, F.length("text") % 2 == 1).alias("turned")))
+
+
+def detector_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's longer side, if every line of its text were ten pixels high and every character eight wide."""
+    n = lines_of(documents(spark, d)).groupBy(*PAGE).agg((F.max(F.length("text")) * 8).alias("width"), (F.count("*") * 10).cast("int").alias("height"))
+    return n.select(*PAGE, decoders.detector_side(F.col("width"), F.col("height")).alias("side"))
+
+
 def character_lines(spark: SparkSession, d: str) -> DataFrame:
     """Each text's characters set one by one, 60 to a row, and put together again."""
     docs = documents(spark, d)
@@ -290,6 +328,11 @@ def character_lines(spark: SparkSession, d: str) -> DataFrame:
     return chars.text_lines(c, docs.select("doc_id", F.col("doc_id").cast("int").alias("page_no"), F.lit(612).alias("width"), F.lit(792).alias("height"))).select(*PAGE, "line_no", "text")
 
 
+#: A gap of one character is a space, one of two ends the line; digits close up.
+CHARACTERS = f"""SELECT doc_id, doc_id::INT AS page_no, (row_number() OVER (PARTITION BY doc_id ORDER BY r, k) - 1)::INT AS line_no, regexp_replace(regexp_replace(part, '([0-9]) ([0-9])', '\\1\\2', 'g'), '([0-9]) ([0-9])', '\\1\\2', 'g') AS text FROM
+ (SELECT doc_id, r, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM (SELECT doc_id, r, string_split_regex(trim(regexp_replace(substr(text, r * 60 + 1, 60), '{t.WS}', ' ', 'g')), ' {{2,}}') AS parts FROM (SELECT doc_id, text, unnest(range((length(text) + 59) // 60)) AS r FROM documents))) WHERE part <> ''"""
+
+
 def editor_labels(spark: SparkSession, d: str) -> DataFrame:
     return pages.editor_labels(blocks_of(spark, d))
 
@@ -346,7 +389,11 @@ DOCUMENTS = {
     "project_rows": (project_rows, f"WITH {INPUTS} SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', '') AS title, md5(path) AS project_id, regexp_replace(path, '\\.[^./]*$', '') || '.epub' AS epub_name FROM v_inputs"),
     "batch_status": (batch_status, "SELECT CASE WHEN n_chars > 5000 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n FROM documents GROUP BY 1"),
     "log_tail": (log_tail, "SELECT event_id AS seq, event_type FROM events ORDER BY event_id DESC LIMIT 5000"),
-    "page_status": (page_status, "SELECT doc_id, doc_id::INT AS page_no, CASE WHEN doc_id % 50 = 7 THEN 'Error' ELSE 'OcrCompleted' END AS status FROM documents"),
+    "page_status": (page_status, sql("SELECT doc_id, doc_id::INT AS page_no, CASE WHEN EXISTS (SELECT 1 FROM v_blocks b WHERE b.doc_id = d.doc_id AND length(ocr_text) > 20) THEN 'OcrCompleted' ELSE 'Error' END AS status FROM documents d", *BLOCKS)),
     "without_cover": (without_cover, "SELECT doc_id, page_no FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, min(page_no) OVER (PARTITION BY doc_id) AS f FROM (SELECT doc_id // 3 AS doc_id, doc_id::INT AS page_no FROM documents)) WHERE n = 1 OR page_no > f"),
-    "character_lines": (character_lines, None),
+    "page_confidence": (page_confidence, sql(CONFIDENCE)),
+    "image_paper_stats": (image_paper_stats, PAPER),
+    "upside_down_pages": (upside_down_pages, sql("SELECT doc_id, page_no, count(CASE WHEN length(text) % 2 = 1 THEN 1 END) * 2 > count(CASE WHEN length(text) > 0 THEN 1 END) AS turned FROM v_lines GROUP BY doc_id, page_no")),
+    "detector_sides": (detector_sides, sql("SELECT doc_id, page_no, least(4096, greatest(960, max(length(text)) * 8, count(*) * 10))::INT AS side FROM v_lines GROUP BY doc_id, page_no")),
+    "character_lines": (character_lines, CHARACTERS),
 }

@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..operators import chapters, evaluation, images, layout, pages, paragraphs
 from ..plans import convert
 from ..sources.tables import documents, lines_of, regions_of
-from .line_queries import STATS, count_of, nonspace, sql
+from .line_queries import STATS, count_of, nonspace, ordered, sql
 
 PAGE = ["doc_id", "page_no"]
 AREA = "greatest(0.0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0.0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y))"
@@ -68,7 +68,7 @@ FREE = f"v_free AS (SELECT * FROM v_lines l WHERE NOT EXISTS (SELECT 1 FROM v_re
 _core = f"regexp_replace(text, '{t.WS}', '', 'g')"
 TYPED = f"""v_typed AS (SELECT *, CASE type WHEN 'ChapterTitle' THEN 1 WHEN 'SectionHeading' THEN 2 WHEN 'Subheading' THEN 3 END AS heading_level, type IN ('Header', 'Footer', 'PageNumber') AS is_excluded, conf < 0.85 AS requires_review FROM
  (SELECT l.*, CASE WHEN EXISTS (SELECT 1 FROM v_regions r WHERE r.kind = 'Boxed' AND l.doc_id = r.doc_id AND l.page_no = r.page_no AND {IN}) THEN 'Aside'
-   WHEN y + h > 0.94 AND length(text) <= 30 AND regexp_matches(core, '^\\p{{Nd}}+$') THEN 'PageNumber' WHEN y < 0.06 AND length(text) <= 30 THEN 'Header' WHEN y + h > 0.94 AND length(text) <= 30 THEN 'Footer'
+   WHEN y + h > 0.94 AND length(text) <= 30 AND regexp_full_match(text, '\\p{{Nd}}*') THEN 'PageNumber' WHEN y < 0.06 AND length(text) <= 30 THEN 'Header' WHEN y + h > 0.94 AND length(text) <= 30 THEN 'Footer'
    WHEN ratio >= 1.8 AND y < 0.4 AND length(core) >= 3 AND regexp_matches(core, '^[\\p{{L}}\\p{{Nd}}]') AND NOT regexp_matches(core, '^\\p{{Nd}}*$') THEN 'ChapterTitle' WHEN ratio >= 1.8 THEN 'Decorative'
    WHEN ratio >= 1.35 THEN 'SectionHeading' WHEN ratio >= 1.15 THEN 'Subheading'
    WHEN length(text) <= 30 AND length(core) >= 4 AND ink >= 1.4 * body_ink AND ink < 3 * body_ink THEN 'Subheading' ELSE 'Body' END AS type
@@ -132,20 +132,23 @@ def paragraph_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks_of(spark, d)
-    return b.withColumn("y", F.col("reading_order") * 22 / 1000.0).withColumn("x", F.when(F.col("reading_order") % 9 == 8, 0.1).otherwise(0.05)).withColumn("w", F.lit(0.4))
+    """The sixth line of every page starts with an initial; every thirteenth has no width."""
+    b, n = blocks_of(spark, d), F.col("reading_order")
+    b = b.withColumn("y", n * 22 / 1000.0).withColumn("x", F.when(n % 9 == 8, 0.1).otherwise(0.05)).withColumn("w", F.when(n % 13 == 11, 0.0).otherwise(0.4))
+    return b.withColumn("ocr_text", F.when(n == 5, " W").otherwise(F.col("ocr_text"))).withColumn("h", F.when(n == 5, 0.06).otherwise(F.col("h"))).withColumn("x", F.when(n == 5, 0.01).otherwise(F.col("x")))
 
 
-NEAR = "v_near AS (SELECT * REPLACE (reading_order * 22 / 1000.0::DOUBLE AS y, CASE WHEN reading_order % 9 = 8 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END AS x, 0.4::DOUBLE AS w) FROM v_blocks)"
+NEAR = """v_near AS (SELECT * REPLACE (reading_order * 22 / 1000.0::DOUBLE AS y, CASE WHEN reading_order = 5 THEN 0.01::DOUBLE WHEN reading_order % 9 = 8 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END AS x, CASE WHEN reading_order % 13 = 11 THEN 0.0::DOUBLE ELSE 0.4::DOUBLE END AS w,
+ CASE WHEN reading_order = 5 THEN ' W' ELSE ocr_text END AS ocr_text, CASE WHEN reading_order = 5 THEN 0.06::DOUBLE ELSE h END AS h) FROM v_blocks)"""
 _join = lambda a, b: f"CASE WHEN regexp_matches({a}, '[\\x{{21}}-\\x{{7E}}]$') AND regexp_matches({b}, '^[\\x{{21}}-\\x{{7E}}]') THEN ' ' ELSE '' END"
 PARAS = f"""
 SELECT doc_id, page_no, min(block_id) AS block_id, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY para) - 1)::INT AS reading_order, arg_min(type, reading_order) AS type, count(*) AS n_lines,
  string_agg(glue || ocr_text, '' ORDER BY reading_order) AS ocr_text, min(conf) AS conf, bool_or(requires_review) AS requires_review, round(min(x), 9) AS x, round(min(y), 9) AS y, round(max(x + w) - min(x), 9) AS w, round(max(y + h) - min(y), 9) AS h
 FROM (SELECT *, CASE WHEN starts = 1 THEN '' ELSE {_join('prev_text', 'ocr_text')} END AS glue, sum(starts) OVER {_W[:-1]} ROWS UNBOUNDED PRECEDING) AS para FROM
  (SELECT *, lag(ocr_text) OVER {_W} AS prev_text, CASE WHEN type IN ('Body', 'Aside') AND type = lag(type) OVER {_W} AND source = lag(source) OVER {_W} AND NOT is_excluded AND NOT lag(is_excluded) OVER {_W} AND NOT is_edited AND NOT lag(is_edited) OVER {_W}
-   AND least(h, lag(h) OVER {_W}) > 0 AND (least(x + w, lag(x + w) OVER {_W}) - greatest(x, lag(x) OVER {_W})) / least(w, lag(w) OVER {_W}) >= 0.5 AND greatest(h, lag(h) OVER {_W}) / least(h, lag(h) OVER {_W}) <= 1.4
+   AND least(h, lag(h) OVER {_W}) > 0 AND (least(x + w, lag(x + w) OVER {_W}) - greatest(x, lag(x) OVER {_W})) / nullif(least(w, lag(w) OVER {_W}), 0) >= 0.5 AND greatest(h, lag(h) OVER {_W}) / least(h, lag(h) OVER {_W}) <= 1.4
    AND y - (lag(y) OVER {_W} + lag(h) OVER {_W}) >= -0.5 * least(h, lag(h) OVER {_W}) AND y - (lag(y) OVER {_W} + lag(h) OVER {_W}) <= 0.8 * least(h, lag(h) OVER {_W}) AND x - lag(x) OVER {_W} <= 0.9 * h THEN 0 ELSE 1 END AS starts
-  FROM v_near)) GROUP BY doc_id, page_no, para"""
+  FROM v_dropped)) GROUP BY doc_id, page_no, para"""
 
 
 def drop_caps(spark: SparkSession, d: str) -> DataFrame:
@@ -160,11 +163,14 @@ def capped(spark: SparkSession, d: str) -> DataFrame:
 
 _len = f"length(regexp_replace(ocr_text, '^{t.WS}+|{t.WS}+$', '', 'g'))"
 CAPS = f"""
-SELECT doc_id, page_no, cap_id, target_id, 'A' || ocr_text AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y, reading_order) AS r FROM
- (SELECT c.doc_id, c.page_no, c.block_id AS cap_id, l.block_id AS target_id, l.y, l.reading_order, l.ocr_text FROM v_capped c
-  JOIN (SELECT doc_id, page_no, percentile_disc(0.5) WITHIN GROUP (ORDER BY h DESC) AS uh FROM v_capped WHERE {_len} > 2 GROUP BY ALL) u USING (doc_id, page_no)
+SELECT doc_id, page_no, cap_id, target_id, regexp_replace(cap, '^{t.WS}+|{t.WS}+$', '', 'g') || ocr_text AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, cap_id ORDER BY y, reading_order) AS r FROM
+ (SELECT c.doc_id, c.page_no, c.block_id AS cap_id, c.ocr_text AS cap, c.conf AS cap_conf, c.requires_review AS cap_review, l.block_id AS target_id, l.y, l.reading_order, l.ocr_text, l.is_edited FROM v_capped c
+  JOIN (SELECT doc_id, page_no, percentile_disc(0.5) WITHIN GROUP (ORDER BY h DESC) AS uh FROM v_capped WHERE {_len} > 2 AND h > 0 GROUP BY ALL) u USING (doc_id, page_no)
   JOIN v_capped l ON l.doc_id = c.doc_id AND l.page_no = c.page_no AND length(regexp_replace(l.ocr_text, '^{t.WS}+|{t.WS}+$', '', 'g')) > 2 AND NOT l.is_excluded AND least(l.y + l.h, c.y + c.h) - greatest(l.y, c.y) > 0 AND l.x >= c.x
-  WHERE c.reading_order = 0 AND c.h >= 1.5 * uh)) WHERE r = 1"""
+  WHERE {_len.replace('ocr_text', 'c.ocr_text')} BETWEEN 1 AND 2 AND NOT c.is_excluded AND c.h >= 1.5 * uh)) WHERE r = 1 AND NOT is_edited"""
+DROPPED = f"""v_cap_pairs AS (SELECT * FROM ({CAPS[CAPS.index('(SELECT *, row_number()') + 1 : CAPS.rindex(')) WHERE r = 1')].replace('v_capped', 'v_near')})) WHERE r = 1 AND NOT is_edited),
+v_dropped AS (SELECT n.* REPLACE (coalesce(regexp_replace(p.cap, '^{t.WS}+|{t.WS}+$', '', 'g'), '') || n.ocr_text AS ocr_text, least(n.conf, coalesce(p.cap_conf, n.conf)) AS conf, n.requires_review OR coalesce(p.cap_review, false) AS requires_review)
+ FROM v_near n LEFT JOIN v_cap_pairs p ON p.doc_id = n.doc_id AND p.page_no = n.page_no AND p.target_id = n.block_id WHERE NOT EXISTS (SELECT 1 FROM v_cap_pairs g WHERE g.doc_id = n.doc_id AND g.page_no = n.page_no AND g.cap_id = n.block_id))"""
 CAPPED = "v_capped AS (SELECT * REPLACE (CASE WHEN reading_order = 0 THEN 'A' ELSE ocr_text END AS ocr_text, CASE WHEN reading_order = 0 THEN 0.2::DOUBLE ELSE h END AS h, CASE WHEN reading_order = 0 THEN 0.01::DOUBLE ELSE x END AS x, CASE WHEN reading_order = 0 THEN false ELSE is_excluded END AS is_excluded) FROM v_blocks)"
 
 
@@ -225,8 +231,8 @@ def source_counts(spark: SparkSession, d: str) -> DataFrame:
     return pages.source_counts(pages_, books(spark, d))
 
 
-COUNTS = """SELECT doc_id, count(CASE WHEN pdf THEN 1 END) AS pdf_pages, count(CASE WHEN ocr THEN 1 END) AS ocr_pages, count(CASE WHEN coalesce(unknown, true) THEN 1 END) AS unknown_pages, coalesce(sum(review), 0)::BIGINT AS review_blocks FROM
- (SELECT doc_id // 10 AS doc_id, doc_id::INT AS page_no FROM documents) LEFT JOIN (SELECT doc_id, page_no, bool_or(source = 'PdfTextLayer') AS pdf, bool_or(source = 'Ocr') AS ocr, bool_and(source = 'Unknown') AS unknown, count(CASE WHEN requires_review THEN 1 END) AS review FROM v_books GROUP BY ALL) USING (doc_id, page_no) GROUP BY doc_id"""
+COUNTS = """SELECT doc_id, count(CASE WHEN pdf THEN 1 END) AS pdf_pages, count(CASE WHEN ocr THEN 1 END) AS ocr_pages, count(CASE WHEN coalesce(unknown, true) THEN 1 END) AS unknown_pages, coalesce(sum(review), 0)::BIGINT AS review_blocks, coalesce(sum(edited), 0)::BIGINT AS edited_blocks FROM
+ (SELECT doc_id // 10 AS doc_id, doc_id::INT AS page_no FROM documents) LEFT JOIN (SELECT doc_id, page_no, bool_or(source = 'PdfTextLayer') AS pdf, bool_or(source = 'Ocr') AS ocr, bool_and(source = 'Unknown') AS unknown, count(CASE WHEN requires_review THEN 1 END) AS review, count(CASE WHEN is_edited THEN 1 END) AS edited FROM v_books GROUP BY ALL) USING (doc_id, page_no) GROUP BY doc_id"""
 
 
 def reflow_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -234,8 +240,33 @@ def reflow_plan(spark: SparkSession, d: str) -> DataFrame:
     return convert.reflow_blocks(lines, regions).select(*PAGE, "block_id", "type", "reading_order", "related_block_id", "n_lines", "ocr_text")
 
 
+def upright(lines: DataFrame) -> DataFrame:
+    """Every seventh page set in columns from right to left."""
+    turned = F.col("doc_id") % 7 == 0
+    boxes = {"x": 1 - F.col("y") - F.col("h"), "y": F.col("x"), "w": F.col("h"), "h": F.col("w")}
+    return lines.select(*[F.when(turned, boxes[c]).otherwise(F.col(c)).alias(c) if c in boxes else c for c in lines.columns])
+
+
 def fixed_plan(spark: SparkSession, d: str) -> DataFrame:
-    return convert.fixed_blocks(lines_of(documents(spark, d))).select(*PAGE, "block_id", "reading_order", "ocr_text", "writing_mode")
+    return convert.fixed_blocks(upright(lines_of(documents(spark, d)))).select(*PAGE, "block_id", "reading_order", "ocr_text", "writing_mode")
+
+
+_v = "writing_mode = 'Vertical'"
+FIXED = (
+    f"v_up AS (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN 1 - y - h ELSE x END AS x, CASE WHEN doc_id % 7 = 0 THEN x ELSE y END AS y, CASE WHEN doc_id % 7 = 0 THEN h ELSE w END AS w, CASE WHEN doc_id % 7 = 0 THEN w ELSE h END AS h) FROM v_lines WHERE {nonspace('text')} > 0)",
+    f"v_upmodes AS (SELECT doc_id, page_no, CASE WHEN sum(CASE WHEN n >= 2 AND h > 1.5 * w THEN n ELSE 0 END) > sum(CASE WHEN n >= 2 AND w > 1.5 * h THEN n ELSE 0 END) THEN 'Vertical' ELSE 'Horizontal' END AS writing_mode FROM (SELECT *, {nonspace('text')} AS n FROM v_up) GROUP BY ALL)",
+    f"v_flat AS (SELECT * REPLACE (CASE WHEN {_v} THEN y ELSE x END AS x, CASE WHEN {_v} THEN 1 - x - w ELSE y END AS y, CASE WHEN {_v} THEN h ELSE w END AS w, CASE WHEN {_v} THEN w ELSE h END AS h) FROM v_up JOIN v_upmodes USING (doc_id, page_no))",
+    ordered("v_flat", "v_fixed", "line_no"),
+)
+REFLOW = (
+    """v_ritems AS (SELECT doc_id, page_no, printf('0-%09d', line_no) AS item, x, y, w, h, text AS ocr_text, conf, source, type, heading_level, is_excluded, requires_review FROM v_typed
+ UNION ALL SELECT doc_id, page_no, printf('1-%09d', region_no), x, y, w, h, '', 1.0, 'Unknown', 'Figure', NULL, false, false FROM v_regions WHERE kind = 'Figure')""",
+    ordered("v_ritems", "v_rorder", "item", by_x=False),
+    "v_rblocks AS (SELECT *, printf('p%04d-b%04d', page_no, reading_order + 1) AS block_id, false AS is_edited FROM v_rorder)",
+    f"v_rlinked AS (SELECT * REPLACE (CASE WHEN related_block_id IS NOT NULL THEN 'Caption' ELSE type END AS type) FROM (SELECT *, CASE WHEN {_chain(1)} THEN block_id1 WHEN {_chain(2)} THEN block_id2 WHEN {_chain(3)} THEN block_id3 END AS related_block_id FROM (SELECT *, {_lags} FROM v_rblocks)))",
+    DROPPED.replace("v_near", "v_rlinked"),
+)
+REFLOWED = f"SELECT doc_id, page_no, block_id, type, reading_order, related_block_id, n_lines, ocr_text FROM ({PARAS.replace('count(*) AS n_lines', 'count(*) AS n_lines, arg_min(related_block_id, reading_order) AS related_block_id')})"
 
 
 def overlay_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -260,7 +291,7 @@ LAYOUT = {
     "classified_lines": (classified_lines, sql("SELECT doc_id, page_no, line_no, type, coalesce(heading_level, 0) AS heading_level, is_excluded, requires_review FROM v_typed", *TYPES)),
     "fixed_blocks": (fixed_blocks, sql(f"SELECT doc_id, page_no, printf('p%04d-b%04d', page_no, rn) AS block_id, (rn - 1)::INT AS reading_order, conf < 0.85 AS requires_review, text AS ocr_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y, x, line_no) AS rn FROM v_lines WHERE {nonspace('text')} > 0)")),
     "caption_links": (caption_links, sql(CAPTIONS, *BLOCKS)),
-    "paragraph_merge": (paragraph_merge, sql(PARAS, *BLOCKS, NEAR)),
+    "paragraph_merge": (paragraph_merge, sql(PARAS, *BLOCKS, NEAR, DROPPED)),
     "drop_caps": (drop_caps, sql(CAPS, *BLOCKS, CAPPED)),
     "chapter_segmentation": (chapter_segmentation, sql(CHAPTERS, *BLOCKS, BOOKS).replace("WITH ", "WITH RECURSIVE ", 1)),
     "page_evaluation": (page_evaluation, sql(PAGE_EVAL, *BLOCKS)),
@@ -268,6 +299,6 @@ LAYOUT = {
     "type_histogram": (type_histogram, sql(HISTOGRAM, *BLOCKS)),
     "source_counts": (source_counts, sql(COUNTS, *BLOCKS, BOOKS)),
     "overlay_boxes": (overlay_boxes, sql(OVERLAY, *BLOCKS)),
-    "reflow_plan": (reflow_plan, None),
-    "fixed_plan": (fixed_plan, None),
+    "reflow_plan": (reflow_plan, sql(REFLOWED, *TYPES, *REFLOW)),
+    "fixed_plan": (fixed_plan, sql("SELECT doc_id, page_no, printf('p%04d-b%04d', page_no, reading_order + 1) AS block_id, reading_order, text AS ocr_text, writing_mode FROM v_fixed", *FIXED)),
 }

@@ -127,6 +127,18 @@ SELECT doc_id, page_no, round(s, 9) AS start, round(e, 9) AS "end" FROM (SELECT
   WHERE n >= 4 AND narrow >= 4 AND crossing <= n * 0.35 AND nc <= greatest(2, floor(narrow * 0.08)) AND least(nl, nr) >= 2 AND least(nl, nr) >= (nl + nr) * 0.05) GROUP BY doc_id, page_no, island)) WHERE r = 1"""
 
 
+def ordered(source: str, name: str, number: str, by_x: bool = True) -> str:
+    """SQL views that order a page's items by columns where at most one gutter, in the middle, can be found, as on these pages."""
+    crosses = "(x < 0.5 AND x + w > 0.5)"
+    return f"""{name}_sides AS (SELECT *, CASE WHEN n >= 4 AND narrow >= 4 AND crossing <= n * 0.35 AND nc <= greatest(2, floor(narrow * 0.08)) AND least(nl, nr) >= 2 AND least(nl, nr) >= (nl + nr) * 0.05 THEN CASE WHEN x + w / 2 < 0.5 THEN 1 ELSE 2 END ELSE 0 END AS side FROM
+ (SELECT *, count(*) OVER p AS n, count_if(w <= 0.5) OVER p AS narrow, count_if({crosses}) OVER p AS crossing, count_if(w <= 0.5 AND {crosses}) OVER p AS nc, count_if(w <= 0.5 AND NOT {crosses} AND x + w / 2 < 0.5) OVER p AS nl, count_if(w <= 0.5 AND NOT {crosses} AND NOT x + w / 2 < 0.5) OVER p AS nr
+  FROM {source} WINDOW p AS (PARTITION BY doc_id, page_no))),
+{name}_groups AS (SELECT doc_id, page_no, side, min(y) AS top, max(y + h) AS bottom FROM {name}_sides GROUP BY ALL),
+{name}_late AS (SELECT doc_id, page_no, NOT least(l.bottom, r.bottom) - greatest(l.top, r.top) > 0.5 * least(l.bottom - l.top, r.bottom - r.top) AND l.top > r.top AS late FROM {name}_groups l JOIN {name}_groups r USING (doc_id, page_no) WHERE l.side = 1 AND r.side = 2),
+{name} AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY column_no, y, {'x, ' if by_x else ''}{number}) - 1)::INT AS reading_order FROM
+ (SELECT s.*, (CASE WHEN side = 0 THEN 0 WHEN coalesce(late, false) THEN 2 - side ELSE side - 1 END)::INT AS column_no FROM {name}_sides s LEFT JOIN {name}_late USING (doc_id, page_no)))"""
+
+
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     return columns.reading_order(lines.nonblank(lines_of(documents(spark, d)))).select(*PAGE, "line_no", "column_no", "reading_order")
 
@@ -150,6 +162,6 @@ LINES = {
     "pages_needing_ocr": (need_ocr, sql("SELECT doc_id, page_no FROM v_quality WHERE NOT usable", QUALITY)),
     "body_statistics": (body_statistics, sql("SELECT * FROM v_stats", STATS.format("v_lines"))),
     "gutter_search": (gutter_search, sql(GUTTERS)),
-    "reading_order": (reading_order, None),
+    "reading_order": (reading_order, sql("SELECT doc_id, page_no, line_no, column_no, reading_order FROM v_order", f"v_shown AS (SELECT * FROM v_lines WHERE {nonspace('text')} > 0)", ordered("v_shown", "v_order", "line_no"))),
     "first_pages": (first_pages, "SELECT doc_id // 10 AS book, count(*) AS pages, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE doc_id % 10 + 1 <= 5 GROUP BY 1"),
 }

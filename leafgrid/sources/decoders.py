@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHARS = "doc_id long, page_no int, char_no int, ch string, left double, top double, right double, bottom double, size double"
@@ -21,7 +21,7 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content", "length", F.col("modificationTime").alias("modified"))
 
 
-def decode(inputs: DataFrame, decoder: Callable[[str, bytes], Iterable[tuple]], schema: str, max_pages: int | None = None) -> DataFrame:
+def decode(inputs: DataFrame, decoder: Callable[[str, bytes], Iterable[tuple]], schema: str, max_pages: int | None = None, key: str = "path string") -> DataFrame:
     """Rows of the decoder with path and error. max_pages is handed to a decoder that takes it as third argument."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
@@ -30,17 +30,39 @@ def decode(inputs: DataFrame, decoder: Callable[[str, bytes], Iterable[tuple]],
             for path, content in zip(f["path"], f["content"]):
                 try:
                     rows = [tuple(r) for r in (decoder(path, bytes(content)) if max_pages is None else decoder(path, bytes(content), max_pages))]
-                    yield pd.DataFrame(rows, columns=names).assign(path=path, error=None)
+                    yield pd.DataFrame(rows, columns=names).assign(path=[path] * len(rows), error=None)
                 except Exception as e:  # the row says what happened
-                    yield pd.DataFrame([[None] * len(names)], columns=names, dtype=object).assign(path=path, error=f"{type(e).__name__}: {e}")
+                    yield pd.DataFrame([[None] * len(names)], columns=names, dtype=object).assign(path=[path], error=f"{type(e).__name__}: {e}")
 
-    return inputs.select("path", "content").mapInPandas(run, f"{schema}, path string, error string")
+    return inputs.select("path", "content").mapInPandas(run, f"{schema}, {key}, error string")
+
+
+def decoded_images(found: DataFrame, decoder: Callable[[bytes], object], on_empty: str = "skip") -> DataFrame:
+    """(doc_id, page_no, width, height, pixels, error) of images (doc_id, page_no, content): pixels are rows of blue, green and red bytes.
+
+    The decoder yields an array of height x width x 3, or nothing for an image that it can't read: such a row is left out ("skip") or says so ("error").
+    """
+    if on_empty not in ("skip", "error"):
+        raise ValueError(f"unknown rule for empty images {on_empty}")
+    out = decode(found.selectExpr("struct(doc_id, page_no) AS path", "content"), lambda _, content: [(a.shape[1], a.shape[0], a.tobytes())] if (a := decoder(content)) is not None and a.size else [(None, None, None)], "width int, height int, pixels binary", key="path struct<doc_id: long, page_no: int>")
+    out = out.select("path.*", "width", "height", "pixels", F.when(F.col("error").isNull() & F.col("pixels").isNull(), "empty image").otherwise(F.col("error")).alias("error"))
+    return out if on_empty == "error" else out.filter("pixels is not null")
+
+
+def detector_side(width: Column, height: Column, preset: int = 960, most: int = 4096) -> Column:
+    """The longer side that a detector works at: the image's own, but neither below its preset nor above the most."""
+    return F.least(F.lit(most), F.greatest(F.lit(preset), width, height))
+
+
+def upside_down(found: DataFrame) -> DataFrame:
+    """(doc_id, page_no, turned): whether most lines of a page say so. found: (doc_id, page_no, turned)."""
+    return found.groupBy("doc_id", "page_no").agg((F.count_if("turned") * 2 > F.count("turned")).alias("turned"))
 
 
 def recognise(images: DataFrame, recogniser: Callable[[bytes], Iterable[tuple]]) -> DataFrame:
     """Lines by a recogniser that yields (polygon [(x, y), ...] in pixels, text, character scores, image width, image height).
 
-    Boxes are the polygons' extent in page ratios; the confidence is the mean score, 0 for none; blank texts are dropped.
+    Boxes are the polygons' extent in page ratios, nothing of a page without size; the confidence is the mean score, 0 for none; blank texts are dropped.
     """
     schema = "doc_id long, page_no int, line_no int, xs array<double>, ys array<double>, text string, scores array<double>, width double, height double"
 
@@ -53,10 +75,11 @@ def recognise(images: DataFrame, recogniser: Callable[[bytes], Iterable[tuple]])
     found = images.select("doc_id", "page_no", "content").mapInPandas(run, schema)
     mean = F.when(F.size("scores") > 0, F.aggregate("scores", F.lit(0.0), lambda a, s: a + s) / F.size("scores")).otherwise(0.0)
     x, y = F.array_min("xs"), F.array_min("ys")
+    ratio = lambda v, side: F.coalesce(F.try_divide(v, F.col(side)), F.lit(0.0))
     from ..functions.text import is_blank
 
     return found.filter(~is_blank(F.col("text"))).select(
-        "doc_id", "page_no", "line_no", (x / F.col("width")).alias("x"), (y / F.col("height")).alias("y"), ((F.array_max("xs") - x) / F.col("width")).alias("w"), ((F.array_max("ys") - y) / F.col("height")).alias("h"),
+        "doc_id", "page_no", "line_no", ratio(x, "width").alias("x"), ratio(y, "height").alias("y"), ratio(F.array_max("xs") - x, "width").alias("w"), ratio(F.array_max("ys") - y, "height").alias("h"),
         "text", mean.alias("conf"), F.lit("Ocr").alias("source"), F.lit(None).cast("double").alias("ink"),
     )
 

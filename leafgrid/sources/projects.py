@@ -21,16 +21,23 @@ def save(blocks: DataFrame, folder: str) -> None:
     spark = blocks.sparkSession
     blocks.write.mode("overwrite").json(f"{folder}/blocks")
     texts = blocks.select(*KEY, t.effective(F.col("corrected_text"), F.col("ocr_text")).alias("text"))
-    try:
-        there = spark.read.schema("doc_id long, block_id string, text string").json(f"{folder}/texts")
-        there.limit(1).count()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = None
+    there = spark.read.schema("doc_id long, block_id string, text string").json(f"{folder}/texts") if exists(spark, f"{folder}/texts") else None
     (texts if there is None else texts.join(there.select(*KEY), KEY, "left_anti")).write.mode("append").json(f"{folder}/texts")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something under the path, on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def project_json(blocks: DataFrame) -> DataFrame:
+    """(doc_id, json): each document's blocks in order, as indented JSON; kinds are written by name."""
+    kept = [c for c in blocks.columns if c != "doc_id"]
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", "reading_order", *[c for c in kept if c not in ("page_no", "reading_order")])))
+    return blocks.groupBy("doc_id").agg(ordered.alias("blocks")).select("doc_id", F.to_json(F.struct("doc_id", "blocks"), {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
+
+
 BLOCKS = (
     "doc_id long, page_no int, block_id string, reading_order int, x double, y double, w double, h double, type string, ocr_text string, corrected_text string, conf double, source string, heading_level int, "
     "is_excluded boolean, is_edited boolean, requires_review boolean, image_path string, related_block_id string, writing_mode string, n_lines long"

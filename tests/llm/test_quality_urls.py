@@ -55,6 +55,45 @@ def test_labels_extend_the_lexicon(docs, spark):
     got = {r.doc_id: r.keep for r in quality.classify(docs(rows), labels).collect()}
     assert not any(got[k] for k in range(0, 80, 4)) and all(got[k] for k in range(80) if k % 4)
     assert quality.derive_lexicon(docs(rows), labels.limit(0)) == frozenset()
+    assert quality.derive_lexicon(docs(rows), labels.filter("doc_id < 12")) == frozenset()  # three toxic documents prove nothing
+    empty = docs(rows, extra=("toxic",)).limit(0)
+    assert quality.keep_good(empty, labels).count() == 0 and quality.keep_good(empty, labels).columns == empty.columns
+
+
+def test_toxicity_is_a_share(docs):
+    passage = GOOD * 30
+    ordinary = [passage + "It was a stupid mistake.", GOOD * 6 + "Put the trash out on Monday.", GOOD + "The fishermen set crap traps.", passage + "He called him an idiot and a clown once."]
+    toxic = [GOOD + "you idiot and clown", GOOD + "you stupid pathetic trash " + GOOD, "what a worthless loser he is"]
+    got = [r.keep for r in quality.classify(docs(corpus() + ordinary + toxic)).orderBy("doc_id").collect()]
+    assert got[-len(toxic) - len(ordinary) :] == [True] * len(ordinary) + [False] * len(toxic)
+
+
+def test_other_scripts_are_not_junk_by_their_words():
+    for text in ("Москва является столицей России и крупнейшим городом страны, где живут миллионы людей. " * 8, "東京は日本の首都であり、世界でも有数の大都市である。多くの人が住んでいる。" * 8):
+        assert "j" not in quality.votes(quality.features(text))[10:12]
+
+
+def test_sample_stays_bounded_and_useful(docs):
+    rows = [(None, t) for t in corpus()] + [(None, GOOD)] * 300
+    got = quality.classify(docs(rows), train_rows=100).collect()
+    assert sum(r.keep for r in got) == 420
+
+
+def test_equal_to_brute_force_of_the_parts(docs, spark):
+    """The query's counts, posterior and scores against plain loops over the rows."""
+    rows = corpus()
+    weights, learned = quality.fit(docs(rows))
+    patterns = [quality.votes(quality.features(t)) for t in rows]
+    kinds = sorted(set(patterns))
+    _, _, post = quality.em(kinds, [patterns.count(p) for p in kinds])
+    order = sorted(range(len(rows)), key=lambda k: (patterns[k], quality.hashed(quality.features(rows[k]))[0].tobytes()))
+    want = quality.train([quality.hashed(quality.features(rows[k])) for k in order], np.array([post[kinds.index(patterns[k])] for k in order]))
+    assert not learned and np.allclose(weights, want, atol=1e-5)
+    for r in quality.classify(docs(rows)).collect():
+        index, value = quality.hashed(quality.features(rows[r.doc_id]))
+        z = [sum(float(v) * float(want[i, c]) for i, v in zip(index, value)) + float(want[-1, c]) for c in range(3)]
+        p = np.exp(np.array(z) - max(z))
+        assert abs(r.p_good - p[0] / p.sum()) < 1e-4 and r.keep == (r.p_good >= 0.5)
 
 
 def test_held_out_accuracy(spark, data):
@@ -95,6 +134,35 @@ def test_unwanted_words_of_a_host_decide(spark, data):
         assert r.keep != any(f in r.url for f in families), r.url
 
 
+def test_known_sites():
+    w = urls.train(urls.LABELLED)
+    p = lambda u: 1 / (1 + np.exp(-(w[urls.grams(u)].sum() / len(urls.grams(u)) ** 0.5 + w[-1])))
+    for u in ("https://www.pornhub.com/view_video.php?viewkey=abc123", "https://www.redtube.com/12345678", "https://www.bet365.com/#/HO/", "http://malware-site.tk/download.exe", "https://m.xvideos.com/video.999/title", "https://casino-slots.online/en/bonus"):
+        assert p(u) > 0.5, (u, p(u))
+    for u in ("https://en.wikipedia.org/wiki/Gambling", "https://www.youtube.com/watch?v=abc", "https://github.com/apache/spark", "https://www.bbc.co.uk/news/world-1234", "https://docs.python.org/3/library/re.html"):
+        assert p(u) < 0.5, (u, p(u))
+
+
+def test_url_scores_against_plain_loops(spark, data):
+    """The query against a reading of the definition, one n-gram after the other."""
+    import re
+    import zlib
+
+    w = urls.train(urls.LABELLED)
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    got = {r.page_id: r for r in urls.op2_url_filter(spark, data).collect()}
+    for r in pages.select("page_id", "url").collect():
+        host, path = re.match(r"https?://([^/?#:]+)(?::[0-9]+)?([^#]*)", r.url.lower()).groups()
+        seen = set()
+        for mark, part in (("h", "^" + host + "$"), ("p", "^" + path + "$")):
+            for n in (3, 4, 5):
+                for i in range(len(part)):
+                    if i == 0 or i + n <= len(part):
+                        seen.add(mark + part[i : i + n])
+        z = w[-1] + sum(w[zlib.crc32(g.encode()) >> 16] for g in seen) / len(seen) ** 0.5
+        assert abs(got[r.page_id].p_unwanted - 1 / (1 + np.exp(-z))) < 1e-9 and got[r.page_id].keep == (got[r.page_id].p_unwanted < 0.5)
+
+
 def test_url_edges(spark):
     rows = [(1, "https://hot-casino.bet/slots/play-now"), (2, None), (3, "no url"), (4, ""), (None, "https://www.library.edu/docs"), (5, "HTTPS://USER:pw@HOT-CASINO.BET:8080/slots/play-now#top"), (1, "https://hot-casino.bet/slots/play-now"), (6, "https://a.org/" + "x" * 100_000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, keep string")

@@ -125,6 +125,26 @@ def test_drop_cap(spark):
     assert {r.target_id for r in paragraphs.drop_caps(spark.createDataFrame(twice, BLOCK)).collect()} == {"p0001-b0002", "p0001-b0003"}
 
 
+def test_drop_cap_joins_its_line(spark):
+    cap = block(0, " O ", x=0.05, y=0.10, w=0.05, h=0.06, conf=0.4)
+    rows = [cap, block(1, "nce upon", x=0.12, y=0.11), block(2, "a time", x=0.12, y=0.135)]
+    made = spark.createDataFrame(rows, BLOCK)
+    got = paragraphs.merge(made).collect()
+    assert [(r.ocr_text, r.block_id, r.conf, r.reading_order) for r in got] == [("Once upon a time", "p0001-b0002", 0.4, 0)] and got[0].x == 0.12
+    edited = [cap, block(1, "nce upon", x=0.12, y=0.11, edited=True), block(2, "a time", x=0.12, y=0.135)]
+    assert paragraphs.drop_caps(spark.createDataFrame(edited, BLOCK)).count() == 0
+    assert len(paragraphs.merge(spark.createDataFrame(edited, BLOCK)).collect()) == 3
+    assert len(paragraphs.merge(spark.createDataFrame([block(0, w=0.0), block(1)], BLOCK)).collect()) == 2  # a line without width
+
+
+def test_status_and_confidence(spark):
+    blocks = spark.createDataFrame([block(0), block(0, page=3)], BLOCK)
+    p = spark.createDataFrame([(1, k) for k in (1, 2, 3)], "doc_id long, page_no int")
+    assert {r.page_no: r.status for r in pages.page_status(p, blocks).collect()} == {1: "OcrCompleted", 2: "Error", 3: "OcrCompleted"}
+    found = spark.createDataFrame([(1, 1, [0.5, 1.0]), (1, 1, [0.25]), (1, 1, []), (1, 2, [])], "doc_id long, page_no int, scores array<double>")
+    assert {r.page_no: r.confidence for r in evaluation.page_confidence(found).collect()} == {1: 0.5, 2: 0.0}
+
+
 def test_chapters(spark):
     get = lambda rows: [(r.title, len(r.block_ids)) for r in chapters.chapters(spark.createDataFrame(rows, BLOCK)).orderBy("chapter_no").collect()]
     title = lambda n, **k: block(n, f"T{n}", "ChapterTitle", **k)
@@ -236,6 +256,50 @@ def test_fixed_page(spark):
     assert "left:61.2px" in page.content and "top:158.4px" in page.content and page.path == "pages/page-0001.xhtml"
 
 
+PAGES = "doc_id long, page_no int, width int, height int, original_image string, processed_image string, writing_mode string"
+
+
+def opened(spark, files):
+    import io
+    import zipfile
+
+    return {r.doc_id: zipfile.ZipFile(io.BytesIO(bytes(r.epub))) for r in projects.packed(files).collect()}
+
+
+def made_projects(spark, *ids):
+    return spark.createDataFrame([(k, "T & U", "Me", " ", "en", "Vertical", f"id{k}") for k in ids], "doc_id long, title string, author string, publisher string, language string, writing_mode string, project_id string")
+
+
+def test_reflow_book_with_cover_and_images(spark):
+    b = spark.createDataFrame([block(0, "Start", "ChapterTitle"), block(1, "", "Figure", image="work/f1.png"), block(2, "", "Figure", image="work/f1.png"), block(3, "text"), block(0, "Other", "ChapterTitle", doc=2)], BLOCK)
+    p = spark.createDataFrame([(1, 2, 612, 792, "in/p2.jpg", None, "Horizontal"), (1, 1, 612, 792, "in/p1.jpg", "in/p1-clean.png", "Horizontal"), (2, 1, 612, 792, None, None, "Horizontal")], PAGES)
+    contents = spark.createDataFrame([("work/f1.png", b"figure"), ("in/p1-clean.png", b"cover")], "path string, content binary")
+    files = convert.reflow_book(b, made_projects(spark, 1, 2), pages=p)
+    cover = convert.cover_images(p)
+    z = opened(spark, convert.with_images(files, convert.book_images(b).unionByName(cover), contents))
+    assert z[1].read("OEBPS/images/f1.png") == b"figure" and z[1].read("OEBPS/images/cover.png") == b"cover"
+    assert 'src="images/cover.png" alt="T &amp; U"' in z[1].read("OEBPS/cover.xhtml").decode() and 'src="../images/f1.png"' in z[1].read("OEBPS/chapters/chapter-001.xhtml").decode()
+    opf = z[1].read("OEBPS/content.opf").decode()
+    assert opf.count('href="images/f1.png"') == 1 and 'href="images/cover.png" media-type="image/png" properties="cover-image"' in opf and opf.index('idref="cover"') < opf.index('idref="chapter-001"')
+    assert "cover.xhtml" in z[1].read("OEBPS/nav.xhtml").decode()
+    assert "OEBPS/cover.xhtml" not in z[2].namelist() and "cover" not in z[2].read("OEBPS/nav.xhtml").decode() + z[2].read("OEBPS/content.opf").decode()
+
+
+def test_fixed_book(spark):
+    b = spark.createDataFrame([block(0, "here", x=0.1, y=0.2, w=0.5, h=0.05), block(0, "there", page=2)], BLOCK)
+    p = spark.createDataFrame([(1, 1, 612, 792, "in/a.jpg", None, "Vertical"), (1, 2, 612, 792, "in/b.jpg", "in/b2.png", "Horizontal"), (1, 3, 612, 792, "in/c.jpg", None, "Horizontal")], PAGES)
+    contents = spark.createDataFrame([("in/a.jpg", b"A"), ("in/b2.png", b"B"), ("in/c.jpg", b"C")], "path string, content binary")
+    files = convert.with_images(convert.fixed_book(p, b, made_projects(spark, 1)), convert.page_images(p), contents)
+    z = opened(spark, files)[1]
+    assert [n for n in z.namelist() if "pages/" in n] == [f"OEBPS/pages/page-{k:04}.xhtml" for k in (1, 2, 3)]
+    assert z.read("OEBPS/images/page-0002.png") == b"B" and 'src="../images/page-0002.png"' in z.read("OEBPS/pages/page-0002.xhtml").decode()
+    assert "there" in z.read("OEBPS/pages/page-0002.xhtml").decode() and "<span" not in z.read("OEBPS/pages/page-0003.xhtml").decode()
+    opf = z.read("OEBPS/content.opf").decode()
+    assert "pre-paginated" in opf and 'page-progression-direction="rtl"' in opf and opf.count("<itemref") == 3
+    with pytest.raises(ValueError, match="needs pages; 9"):
+        convert.fixed_book(p, b, made_projects(spark, 1, 9))
+
+
 def test_transcode(spark):
     df = spark.createDataFrame([("a.png", 2600, 3600, 10**6), ("b.webp", 100, 100, 10**6), ("c.gif", 1, 1, 1)], "path string, width int, height int, bytes long")
     a, b, c = images.transcode_rule(df).collect()
@@ -268,6 +332,69 @@ def test_images():
     assert images.flatten(np.zeros((1, 1, 4), np.uint8)).tolist() == [[[255, 255, 255]]]
 
 
+def test_image_stages(spark):
+    page = np.full((200, 160, 3), 250, np.uint8)
+    page[40:44, 30:130] = page[140:144, 30:130] = page[40:144, 30:34] = page[40:144, 126:130] = 0  # a frame
+    page[60:64, 50:110] = 10
+    tilted = images.rotated(np.where(np.arange(400)[:, None, None] % 20 < 8, 0, 255).astype(np.uint8) * np.ones((1, 300, 3), np.uint8), -3.0)
+    rows = [(1, 1, 160, 200, page.tobytes()), (2, 1, 300, 400, tilted.tobytes()), (3, 1, None, None, None)]
+    imgs = spark.createDataFrame(rows, "doc_id long, page_no int, width int, height int, pixels binary")
+    lines = spark.createDataFrame([(1, 1, 0, 50 / 160, 0.3, 60 / 160, 0.02), (1, 1, 1, 0.05, 0.8, 0.5, 0.1)], "doc_id long, page_no int, line_no int, x double, y double, w double, h double")
+    stats = {r.doc_id: r for r in images.page_paper_stats(imgs).collect()}
+    assert set(stats) == {1, 2} and stats[1].luminance == 250 and stats[1].b == 250
+    assert {r.line_no: r.ink for r in images.line_ink(imgs, lines).collect()} == {0: 1.0, 1: 0.0}
+    assert {r.doc_id: r.angle is None for r in images.page_skew(imgs).collect()} == {1: True, 2: False}
+    level = {r.doc_id: r for r in images.straightened(imgs).collect()}
+    assert level[1].angle == 0.0 and bytes(level[1].pixels) == page.tobytes() and abs(level[2].angle - 3.0) < 0.5
+    white = images.enhanced(imgs, spark.createDataFrame([(1, 240.0, 240.0, 240.0)], "doc_id long, b double, g double, r double"))
+    assert {r.doc_id: max(r.pixels) for r in white.collect()}[1] == 255
+    assert [r.kind for r in images.page_regions(imgs.filter("doc_id = 1"), lines.limit(0)).collect()] == ["Figure"]  # the frame's own edges are a figure, which goes first
+    assert images.frame_boxes(page) == [(30 / 160, 40 / 200, 100 / 160, 104 / 200)]
+    page[60:120, 50:110] = 0  # filled: its hollow is small
+    page[44:140, 34:126] = 0
+    assert images.frame_boxes(page) == []
+
+
+def test_pictures_of_blocks(spark):
+    page = np.arange(40 * 60 * 3, dtype=np.uint32).astype(np.uint8).reshape(40, 60, 3)
+    imgs = spark.createDataFrame([(1, 1, 60, 40, page.tobytes())], "doc_id long, page_no int, width int, height int, pixels binary")
+    b = spark.createDataFrame([block(0, kind="Figure", x=0.5, y=0.5, w=0.25, h=0.25), block(1, x=0.0, y=0.0, w=0.5, h=0.5, excluded=True)], BLOCK)
+    made = images.figure_images(imgs, b, lambda a, q: bytes([q]) + a.tobytes()).collect()
+    assert [(r.block_id, bytes(r.content)) for r in made] == [("p0001-b0001", bytes([90]) + page[20:30, 30:45].tobytes())]
+    out = images.overlays(imgs, b).first()
+    drawn = np.frombuffer(bytes(out.pixels), np.uint8).reshape(40, 60, 3)
+    shade = [int(images.COLOURS["Figure"][k : k + 2], 16) for k in (5, 3, 1)]
+    assert drawn[22, 40].tolist() == drawn[20, 30].tolist() == shade and drawn[24, 40].tolist() == page[24, 40].tolist()
+    assert (drawn[1:19, 1:29] == page[1:19, 1:29]).all() and (drawn[0, 5] != page[0, 5]).any()
+    assert (images.overlays(imgs, b, most=30).first().width, images.overlays(imgs, b, most=30).first().height) == (30, 20)
+    contents = spark.createDataFrame([("a.png", b"A"), ("b.jpg", b"B")], "path string, content binary")
+    rules = images.transcode_rule(spark.createDataFrame([("a.png", 4000, 2000, 10), ("b.jpg", 100, 100, 10)], "path string, width int, height int, bytes long"))
+    encoder = lambda c, w, h, q: c + f"{w}x{h}@{q}".encode()
+    assert {r.path: bytes(r.content) for r in images.transcoded(contents, rules, encoder, 300).collect()} == {"a.png": b"A2200x1100@100", "b.jpg": b"B"}
+    assert {r.path: bytes(r.content) for r in images.transcoded(contents, rules, None).collect()} == {"a.png": b"A", "b.jpg": b"B"}
+
+
+def test_models(tmp_path):
+    import hashlib
+
+    from leafgrid.sources import models
+
+    calls = []
+
+    def fetch(path):
+        calls.append(path)
+        with open(path, "wb") as f:
+            f.write(b"weights")
+
+    want = hashlib.sha256(b"weights").hexdigest()
+    path = models.provide("m.onnx", str(tmp_path / "cache"), want.upper(), fetch)
+    assert open(path, "rb").read() == b"weights" and models.provide("m.onnx", str(tmp_path / "cache"), want, fetch) == path and len(calls) == 1
+    with pytest.raises(ValueError, match="digest"):
+        models.provide("other", str(tmp_path / "cache"), "0" * 64, fetch)
+    assert [p.name for p in (tmp_path / "cache").iterdir()] == ["m.onnx"]
+    assert models.available(lambda: None) and not models.available(lambda: 1 / 0)
+
+
 def test_characters():
     word = lambda s, x, y: [(x + 10 * k, y, x + 10 * k + 9, y + 12) for k in range(len(s))]
     text = "abcd" + "efg" + "12" + "xyz"
@@ -289,7 +416,24 @@ def test_decoders(spark, tmp_path):
     assert [(r.raw_text, r.error) for r in out] == [("one", None), ("two", None), (None, "ValueError: unreadable")]
 
 
+def test_images_that_cannot_be_read(spark):
+    found = spark.createDataFrame([(1, 1, b"ab"), (1, 2, b""), (1, 3, b"!")], "doc_id long, page_no int, content binary")
+
+    def decoder(content):
+        if content == b"!":
+            raise ValueError("broken")
+        return np.full((2, 3, 3), content[0], np.uint8) if content else None
+
+    all_ = {r.page_no: (r.width, r.height, r.error) for r in decoders.decoded_images(found, decoder, "error").collect()}
+    assert all_ == {1: (3, 2, None), 2: (None, None, "empty image"), 3: (None, None, "ValueError: broken")}
+    assert [bytes(r.pixels) for r in decoders.decoded_images(found, decoder).collect()] == [b"a" * 18]
+    with pytest.raises(ValueError):
+        decoders.decoded_images(found, decoder, "other")
+
+
 def test_recognise_and_ask(spark):
+    nothing = decoders.recognise(spark.createDataFrame([(1, 1, b"x")], "doc_id long, page_no int, content binary"), lambda c: [([(10, 20), (110, 40)], "hello", [0.8], 0, 0)]).first()
+    assert (nothing.x, nothing.w) == (0.0, 0.0)
     image = spark.createDataFrame([(1, 1, b"x")], "doc_id long, page_no int, content binary")
     got = decoders.recognise(image, lambda c: [([(10, 20), (110, 20), (110, 40), (10, 40)], "hello", [0.8, 1.0], 1000, 1000), ([(0, 0), (1, 1)], " ", [], 1000, 1000)]).collect()
     assert [(r.text, r.x, r.w, r.conf) for r in got] == [("hello", 0.01, 0.1, 0.9)]
@@ -297,6 +441,13 @@ def test_recognise_and_ask(spark):
     assert decoders.chunk_status(asked).first()["status"] == "partial"
 
 
+def test_project_json(spark):
+    import json
+
+    made = projects.project_json(spark.createDataFrame([block(1, "b"), block(0, "a", kind="Figure")], BLOCK)).first()
+    assert [(b["reading_order"], b["type"], b["ocr_text"]) for b in json.loads(made.json)["blocks"]] == [(0, "Figure", "a"), (1, "Body", "b")] and "\n  " in made.json
+
+
 def test_stream(spark, tmp_path, data):
     from leafgrid.sources.tables import lines_of
     from leafgrid.operators import lines
@@ -323,7 +474,14 @@ def test_cli(spark, data, tmp_path):
 
     docs = f"{data}/documents.parquet"
     assert cli.main(["analyze", docs, "--documents", "-o", f"{tmp_path}/p", "--layout", "reflow"]) == 0
-    assert cli.main(["export", f"{tmp_path}/p", "-o", f"{tmp_path}/x"]) == 0
+    assert cli.main(["export", f"{tmp_path}/p", "-o", f"{tmp_path}/x", "--format", "blocks"]) == 0
+    import glob
+    import zipfile
+
+    for verb in (["export", f"{tmp_path}/p", "--layout", "reflow"], ["convert", docs, "--documents", "--vertical", "--max-pages", "3"], ["convert", docs, "--documents", "--layout", "reflow", "--image-quality", "300"]):
+        assert cli.main([*verb, "-o", f"{tmp_path}/books"]) == 0
+        made = glob.glob(f"{tmp_path}/books/*.epub")
+        assert made and zipfile.ZipFile(made[0]).namelist()[0] == "mimetype"
     assert spark.read.parquet(f"{tmp_path}/x").count() == spark.read.json(f"{tmp_path}/p/blocks").count() > 0
     assert cli.main(["evaluate", docs, "--documents", "-o", f"{tmp_path}/e"]) == 0
     assert spark.read.text(f"{tmp_path}/e/html").count() == spark.read.parquet(docs).count()
