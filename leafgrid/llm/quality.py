@@ -55,6 +55,8 @@ UPPER = (_CODES >= 65) & (_CODES <= 90)
 DIM_BITS = 18
 #: The share of entries of a list among a text's words from which it counts as toxic.
 TOXIC_SHARE = 0.004
+#: For how many documents of each class the expectation of better labellers counts, and what votes (g, j, t, -) are expected of junk beside the usual ones.
+PRIOR_ROWS, JUNK_VOTES = 1, np.array([0.2, 0.4, 0.02, 0.38])
 #: Scripts other than Latin, and those of them that are written without spaces.
 _OTHER = re.compile("[\u0370-\u1fff\u3040-\ud7ff\uf900-\ufdff\ufe70-\ufeff]")
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
@@ -126,7 +128,8 @@ def votes(f: dict[str, float] | None) -> str:
 def em(patterns: list[str], counts: list[int], rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class shares, accuracies[labeller, class, vote], posterior[pattern, class]) by expectation-maximisation.
 
-    Votes are independent given the class. A pattern belongs only to classes that a labeller voted for, and the start is the
+    Votes are independent given the class. Labellers are held to be better than chance until the documents say otherwise, so that a few documents with one vote
+    for a fault against many others make no class of their own. A pattern belongs only to classes that a labeller voted for, and the start is the
     weighed share of votes for each class, so that classes keep their names; from there on votes have the weight that their labeller's accuracy gives them.
     """
     letters = "gjt-"
@@ -134,15 +137,18 @@ def em(patterns: list[str], counts: list[int], rounds: int = 60) -> tuple[np.nda
     w = np.asarray(counts, float)
     start = np.stack([(x == k).sum(1) for k in range(3)], 1).astype(float)
     start *= [0.3, 2.0, 6.0]  # a vote for a fault says more than one for its absence
+    usual = np.stack([w @ (x == v) for v in range(4)], 1) / max(1, w.sum())
+    prior = np.stack([usual * [1, 0.5, 0.1, 1], (usual + JUNK_VOTES) / 2, usual * [1, 1, 10, 1]], 1) + 1e-3
+    prior *= PRIOR_ROWS / prior.sum(2, keepdims=True)
     voted = (start > 0) | (start.sum(1, keepdims=True) == 0)
     post = (start + 1e-9) / (start + 1e-9).sum(1, keepdims=True)
     for _ in range(rounds):
         share = (post * w[:, None]).sum(0) + 1
         share /= share.sum()
-        table = np.empty((x.shape[1], 3, 4))
+        table = prior.copy()
         for j in range(x.shape[1]):
             for v in range(4):
-                table[j, :, v] = (post[x[:, j] == v] * w[x[:, j] == v, None]).sum(0) + 0.01
+                table[j, :, v] += (post[x[:, j] == v] * w[x[:, j] == v, None]).sum(0)
         table /= table.sum(2, keepdims=True)
         log = np.log(share) + sum(np.log(table[j][:, x[:, j]]).T for j in range(x.shape[1]))
         post = np.exp(log - log.max(1, keepdims=True)) * voted + 1e-12 * voted
@@ -209,7 +215,7 @@ def probabilities(f: dict | None, weights: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def derive_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_rows: int = 20_000, chance: float = 1.0, precision: float = 0.99) -> frozenset:
+def derive_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_rows: int = 20_000, chance: float = 0.05, precision: float = 0.99) -> frozenset:
     """Words, and stems of STEM letters, that mark labelled toxic documents.
 
     label_rows bounds the sample of labels (rows alike once). An entry is taken if toxic documents have it, hardly any other does, and among all entries looked at no more

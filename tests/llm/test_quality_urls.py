@@ -25,6 +25,11 @@ def test_em_finds_the_better_labeller():
     assert post[list(patterns).index("jjj")][1] > 0.9
 
 
+def test_one_vote_for_a_fault_makes_no_class():
+    share, _, posterior = quality.em(["gg-g-gg-g---ggg", "gg-g-gg-g-j-ggg"], [36, 6])
+    assert (posterior[:, 0] > 0.9).all() and share[0] > 0.9
+
+
 def test_classify(docs):
     rows = corpus()
     got = {r.doc_id: r for r in quality.classify(docs(rows)).collect()}
