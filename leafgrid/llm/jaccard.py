@@ -100,6 +100,20 @@ def sketch_bits(docs: DataFrame) -> int:
     return min(SKETCH_BITS, max(20, (COUNTERS * docs.count() - 1).bit_length()))
 
 
+def packed(counters: np.ndarray) -> bytes:
+    """Which counters aren't zero, a bit each, and these ones' values, a plane for each of their four bytes."""
+    used = counters > 0
+    planes = counters[used].astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(np.packbits(used).tobytes() + planes.tobytes(), 1)
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(x), np.uint8)
+    out = np.zeros(1 << SLICE_BITS, np.uint64)
+    out[np.unpackbits(raw[: 1 << SLICE_BITS - 3]).astype(bool)] = np.ascontiguousarray(raw[1 << SLICE_BITS - 3 :].reshape(4, -1).T).view("<u4").ravel()
+    return out
+
+
 def survey(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """Rows (doc_id, fp, m, digest) for documents, and (slice, counts) of the sketch for each task."""
     slices = 1 << bits - SLICE_BITS
@@ -126,7 +140,7 @@ def survey(docs: DataFrame, n: int, bits: int) -> DataFrame:
             k = len(keep)
             yield pa.RecordBatch.from_arrays([pa.array(keep, kind), pa.array(fps, pa.int64()), pa.array(ms, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if sketch.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, slices)]
+            parts = [packed(x) for x in np.split(sketch, slices)]
             yield pa.RecordBatch.from_arrays([pa.nulls(slices, kind), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int32()), pa.nulls(slices, pa.binary()), pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names)
 
     names = ["doc_id", "fp", "m", "digest", "slice", "counts"]
@@ -137,7 +151,7 @@ def sketch_of(surveyed: DataFrame, bits: int) -> np.ndarray:
     """The tasks' sketches summed, as levels of the logarithm: at most 2**SKETCH_BITS bytes come to the driver."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in table.column("counts").to_pylist())
+        total = sum(map(unpacked, table.column("counts").to_pylist()))
         level = np.minimum(np.rint(12 * np.log2(1.0 + total)), 255).astype(np.uint8)
         return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([level.tobytes()], pa.binary())})
 

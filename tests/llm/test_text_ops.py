@@ -246,6 +246,12 @@ def brute_classes(links):
     return out
 
 
+def test_counters_survive_packing():
+    rng = np.random.default_rng(3)
+    for counters in (np.zeros(1 << jaccard.SLICE_BITS, np.uint32), rng.integers(0, 3, 1 << jaccard.SLICE_BITS, np.uint32), rng.integers(0, 1 << 32, 1 << jaccard.SLICE_BITS, np.uint32)):
+        assert (jaccard.unpacked(jaccard.packed(counters)) == counters).all()
+
+
 def test_digest_bounds_overlap():
     rng = np.random.default_rng(3)
     for m, k, shared in [(1, 1, 1), (40, 45, 30), (300, 260, 200), (5, 9, 0), (1000, 1024, 1000)]:
