@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHARS = "doc_id long, page_no int, char_no int, ch string, left double, top double, right double, bottom double, size double"
+#: Decoded rows that go back to the JVM together.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 5_000
 PAGES = "doc_id long, page_no int, width int, height int, raw_text string"
 
 
@@ -25,14 +27,26 @@ def decode(inputs: DataFrame, decoder: Callable[[str, bytes], Iterable[tuple]],
     """Rows of the decoder with path and error. max_pages is handed to a decoder that takes it as third argument."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*names, "path", "error"], dtype=object).infer_objects()
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            out, held = [], 0
             for path, content in zip(f["path"], f["content"]):
                 try:
-                    rows = [tuple(r) for r in (decoder(path, bytes(content)) if max_pages is None else decoder(path, bytes(content), max_pages))]
-                    yield pd.DataFrame(rows, columns=names).assign(path=[path] * len(rows), error=None)
+                    rows = [(*r, path, None) for r in (decoder(path, bytes(content)) if max_pages is None else decoder(path, bytes(content), max_pages))]
+                    if any(len(r) != len(names) + 2 for r in rows):
+                        raise ValueError(f"a row of {len(rows[0]) - 2} values for {len(names)} columns")
                 except Exception as e:  # the row says what happened
-                    yield pd.DataFrame([[None] * len(names)], columns=names, dtype=object).assign(path=[path], error=f"{type(e).__name__}: {e}")
+                    rows = [(*[None] * len(names), path, f"{type(e).__name__}: {e}")]
+                out += rows
+                held += sum(len(v) if isinstance(v, (bytes, str)) else 8 for r in rows for v in r)
+                if held > BATCH_BYTES or len(out) > BATCH_ROWS:  # small files share a frame, large ones don't
+                    yield framed(out)
+                    out, held = [], 0
+            if out:
+                yield framed(out)
 
     return inputs.select("path", "content").mapInPandas(run, f"{schema}, {key}, error string")
 
