@@ -37,11 +37,17 @@ def elements(blocks: DataFrame) -> DataFrame:
     return shown.filter((F.col("type") == "Figure") | ~t.is_blank(F.col("text"))).select("doc_id", "page_no", "reading_order", "block_id", html.alias("html"))
 
 
+def _listed(chapters: DataFrame, *more: str) -> DataFrame:
+    """A row for each block of a chapter, or one if it has none; the first has the title, which may be long and needn't travel with all."""
+    listed = chapters.select("doc_id", "chapter_no", "title", *more, F.posexplode_outer("block_ids").alias("pos", "block_id"))
+    return listed.withColumn("title", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("title")))
+
+
 def chapter_documents(chapters: DataFrame, made: DataFrame, language: str = "en") -> DataFrame:
     """(doc_id, chapter_no, path, content): each chapter's heading and elements in the order of its block_ids; unknown ids are skipped."""
-    listed = chapters.select("doc_id", "chapter_no", "title", "heading_level", F.posexplode_outer("block_ids").alias("pos", "block_id"))
-    joined = listed.join(made.select("doc_id", "block_id", "html"), ["doc_id", "block_id"], "left").groupBy("doc_id", "chapter_no", "title", "heading_level")
-    body = joined.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "html"))), lambda s: s["html"]), "\n").alias("body"))
+    listed = _listed(chapters, "heading_level")
+    joined = listed.join(made.select("doc_id", "block_id", "html"), ["doc_id", "block_id"], "left").groupBy("doc_id", "chapter_no", "heading_level")
+    body = joined.agg(F.max("title").alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "html"))), lambda s: s["html"]), "\n").alias("body"))
     level = F.greatest(F.lit(1), F.least(F.lit(6), F.col("heading_level"))).cast("string")
     head = F.concat(F.lit("<h"), level, F.lit(">"), t.escaped(F.col("title")), F.lit("</h"), level, F.lit(">"))
     return body.select("doc_id", "chapter_no", F.format_string("chapters/chapter-%03d.xhtml", "chapter_no").alias("path"), page(F.col("title"), F.concat(head, F.lit("\n"), F.col("body")), language).alias("content"))
@@ -102,12 +108,12 @@ def manifest(projects: DataFrame, files: DataFrame, fixed: bool = False, modifie
 
 def navigation(chapters: DataFrame, blocks: DataFrame, language: str = "en", covered: DataFrame | None = None) -> DataFrame:
     """(doc_id, content): chapters, and in each the section headings that have text (no lower ones); the cover first for the documents of covered."""
-    listed = chapters.select("doc_id", "chapter_no", "title", F.posexplode_outer("block_ids").alias("pos", "block_id"))
+    listed = _listed(chapters)
     text = t.effective(F.col("corrected_text"), F.col("ocr_text"))
     sections = blocks.filter((F.col("type") == "SectionHeading") & ~t.is_blank(text)).select("doc_id", "block_id", text.alias("section"))
     href = F.format_string("chapters/chapter-%03d.xhtml", "chapter_no")
     entry = F.when(F.col("section").isNotNull(), F.struct("pos", F.concat(F.lit('<li><a href="'), href, F.lit("#"), F.col("block_id"), F.lit('">'), t.escaped(F.col("section")), F.lit("</a></li>")).alias("li")))
-    per = listed.join(sections, ["doc_id", "block_id"], "left").groupBy("doc_id", "chapter_no", "title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["li"]), "").alias("subs"))
+    per = listed.join(sections, ["doc_id", "block_id"], "left").groupBy("doc_id", "chapter_no").agg(F.max("title").alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["li"]), "").alias("subs"))
     inner = F.when(F.length("subs") > 0, F.concat(F.lit("<ol>"), F.col("subs"), F.lit("</ol>"))).otherwise("")
     li = F.concat(F.lit('<li><a href="'), href, F.lit('">'), t.escaped(F.col("title")), F.lit("</a>"), inner, F.lit("</li>"))
     listing = per.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_no", li.alias("li")))), lambda s: s["li"]), "").alias("lis"))
