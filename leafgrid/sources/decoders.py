@@ -28,7 +28,9 @@ def decode(inputs: DataFrame, decoder: Callable[[str, bytes], Iterable[tuple]],
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def framed(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*names, "path", "error"], dtype=object).infer_objects()
+        """Columns with gaps stay objects, or large whole numbers would become floats beside them."""
+        columns = {c: pd.Series(v, dtype=object) for c, v in zip([*names, "path", "error"], zip(*rows))}
+        return pd.DataFrame({c: v if v.isna().any() else v.infer_objects() for c, v in columns.items()})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -574,7 +574,7 @@ def test_small_files_share_a_frame(spark):
             made.add(1)
             yield f
 
-    got = decoders.decode(files, decoder, "n long, big long, v double").mapInPandas(counted, "n long, big long, v double, path string, error string").collect()
+    got = decoders.decode(files, decoder, "n long, big long, v double").mapInArrow(counted, "n long, big long, v double, path string, error string").collect()
     assert made.value <= 5
     assert [(r.n, r.big, r.error) for r in got if int(r.path) in (7, 8, 9)] == [(None, None, "ValueError: bad"), (8, None, None), (9, 2**60 + 9, None)]
 
